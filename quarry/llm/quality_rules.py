@@ -67,7 +67,7 @@ def base_counts(d: DataFrame) -> DataFrame:
 
 
 #: The largest distances from its language's reference that a document may have, and the least sizes that are judged.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_BYTES, MIN_WORDS = 0.28, 0.45, 200, 50
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_BYTES, MIN_WORDS = 0.32, 0.45, 200, 50
 
 
 def _js_distance(p: Column, q: Column) -> Column:
@@ -109,5 +109,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     row = F.struct(*(docs[c] for c in names))
     d = docs.select(row.alias(key), docs["lang"].alias("lang"), docs["text"].alias("text"))
     refs = cut(references(histograms(d.select("lang", "text"))))
-    judged = judge(base_counts(histograms(d)), refs)
-    return judged.where("kept").select(f"{key}.*")
+    # the optimizer doesn't push a filter below the projection that numbers rows; it would compute everything anew there
+    numbered = base_counts(histograms(d)).withColumn("__number", F.monotonically_increasing_id())
+    return judge(numbered, refs).where("kept and __number >= 0").select(f"{key}.*")
