@@ -70,13 +70,17 @@ def base_counts(d: DataFrame) -> DataFrame:
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_BYTES, MIN_WORDS = 0.32, 0.45, 200, 50
 
 
-def _js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of one length; null if one of them is empty."""
+def _js_distance(d: DataFrame, name: str, p: str, q: str) -> DataFrame:
+    """Adds the Jensen-Shannon distance (base 2, 0 to 1) of two histograms of one length; null if one of them is empty.
+
+    The totals are columns of their own, so that they aren't summed for each entry again.
+    """
     total = lambda h: F.aggregate(h, F.lit(0.0), lambda s, x: s + x)
+    d = d.withColumns({"__p": F.nullif(total(p), F.lit(0.0)), "__q": F.nullif(total(q), F.lit(0.0))})
     half = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    share = lambda h: F.transform(h, lambda x: F.try_divide(x.cast("double"), total(h)))
-    parts = F.zip_with(share(p), share(q), lambda x, y: (half(x, (x + y) / 2) + half(y, (x + y) / 2)) / 2)
-    return F.sqrt(F.greatest(total(parts), F.lit(0.0)))
+    both = lambda x, y: (half(x, (x + y) / 2) + half(y, (x + y) / 2)) / 2
+    parts = F.zip_with(p, q, lambda x, y: both(x / F.col("__p"), y / F.col("__q")))
+    return d.withColumn(name, F.sqrt(F.greatest(total(parts), F.lit(0.0)))).drop("__p", "__q")
 
 
 def references(d: DataFrame) -> DataFrame:
@@ -91,8 +95,10 @@ def judge(d: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds class_distance, word_distance (null under the length guards) and kept."""
     d = d.withColumn("__lang", F.coalesce("lang", F.lit(""))).join(refs, "__lang", "left")
     size = F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
-    d = d.withColumn("class_distance", F.when(size >= MIN_BYTES, _js_distance(F.col("classes"), F.col("class_ref"))))
-    d = d.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, _js_distance(F.col("commons"), F.col("common_ref"))))
+    d = _js_distance(d, "class_distance", "classes", "class_ref")
+    d = _js_distance(d, "word_distance", "commons", "common_ref")
+    d = d.withColumn("class_distance", F.when(size >= MIN_BYTES, F.col("class_distance")))
+    d = d.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, F.col("word_distance")))
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return d.withColumn("kept", ~F.col("base_failed") & ~far).drop("__lang", "class_ref", "common_ref", "classes", "commons")
 
