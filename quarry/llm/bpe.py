@@ -21,8 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Chunks that a worker keeps at most, and the longest that it keeps, in code points.
-KEEP, KEEP_LENGTH = 300_000, 64
+#: Chunks, pieces and pairs of tokens that a worker keeps at most, and the longest chunk that it keeps, in code points.
+KEEP, PAIRS, KEEP_LENGTH = 250_000, 1_000_000, 64
 _SPACE = regex.compile(r"\s+")
 
 
@@ -54,7 +54,8 @@ class Bpe:
         # the last symbol of a word is one of its own: byte symbols are 0-255, those that end a word 256-511
         self.code = {s: chr(b) for b, s in enumerate(self.bytes)} | {s + self.suffix: chr(256 + b) for b, s in enumerate(self.bytes)}
         self.start_ids = {c: self.vocab[s] for s, c in self.code.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by pair of ids
+        self.pieces: dict[str, list[int]] = {}
         self.automaton = ahocorasick.Automaton()
         self.codes: dict[int, str] = {}
         for token, i in self.vocab.items():
@@ -85,36 +86,44 @@ class Bpe:
         return ids
 
     def may_follow(self, a: int, b: int) -> bool:
-        if (known := self.fits.get((a, b))) is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[a, b] = self.merged(self.codes[a] + self.codes[b]) == [a, b]
-        return known
+        return self.merged(self.codes[a] + self.codes[b]) == [a, b]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one word given as bytes."""
-        if not piece:
-            return []
-        codes = "".join(map(chr, piece[:-1])) + chr(256 + piece[-1] if self.suffix else piece[-1])
-        ending: list[list[tuple[int, int]]] = [[] for _ in codes]
-        for at, found in self.automaton.iter(codes):
-            ending[at].append(found)
-        last: list[tuple[int, int]] = []  # (token, length) for the prefix that ends at each place
-        for at, found in enumerate(ending):
-            for token, n in found:
-                before = at - n
-                if before < 0 or self.may_follow(last[before][0], token):
-                    last.append((token, n))
-                    break
-            else:
-                raise ValueError("no token ends at a place: the vocabulary lacks a symbol")
-        ids, at = [], len(codes) - 1
+        codes = piece.decode("latin-1")
+        if self.suffix:
+            codes = codes[:-1] + chr(256 + piece[-1])
+        fits, size = self.fits, len(codes)
+        if len(fits) > PAIRS:
+            fits.clear()
+        last, start = [-1] * size, [0] * size  # the prefix's last token, and where that token starts
+        for at, (token, n) in self.automaton.iter(codes):
+            if last[at] >= 0:
+                continue
+            before = at - n
+            if before >= 0:
+                pair = last[before] << 32 | token
+                if (ok := fits.get(pair)) is None:
+                    ok = fits[pair] = self.may_follow(last[before], token)
+                if not ok:
+                    continue
+            last[at], start[at] = token, before
+        ids, at = [], size - 1
         while at >= 0:
-            token, n = last[at]
-            ids.append(token)
-            at -= n
+            ids.append(last[at])
+            at = start[at]
         return ids[::-1]
 
+    def encode_word(self, piece: str) -> list[int]:
+        """The ids of one piece, remembered if it isn't long."""
+        if (known := self.pieces.get(piece)) is None:
+            known = self.encode_piece(piece.encode())
+            if len(piece) <= KEEP_LENGTH:
+                if len(self.pieces) >= KEEP:
+                    self.pieces.clear()
+                self.pieces[piece] = known
+        return known
+
     def encode(self, text: str) -> list[int]:
         """The ids of a text: special tokens, normalization, pieces, tokens."""
         ids: list[int] = []
@@ -125,7 +134,7 @@ class Bpe:
             # capital sigma first: each character is lower-cased by itself, wherever in a word it stands
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             for piece in self.piece_re.findall(part):
-                ids += self.encode_piece(piece.encode())
+                ids += self.encode_word(piece)
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -163,7 +172,10 @@ def model(source: str) -> Chunks:
 
 def digest(text: str | None, chunks: Chunks) -> tuple[int, bytes, str]:
     """Number of ids, ids as little-endian 32-bit integers, decoded text."""
-    found = [chunks[c] for c in _SPACE.split(text or "") if c]
+    text = text or ""
+    # str.split() parts at four more characters than the tokenizer does
+    parts = _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+    found = [chunks[c] for c in parts if c]
     return sum(x[0] for x in found), b"".join(x[1] for x in found), " ".join(x[2] for x in found if x[0])
 
 
