@@ -69,6 +69,8 @@ def base_counts(d: DataFrame) -> DataFrame:
 #: The largest distances from its language's reference that a document may have, and the least sizes that are judged.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_BYTES, MIN_WORDS = 0.32, 0.45, 200, 50
 
+MANY_LANGUAGES = 1000
+
 
 def _js_distance(d: DataFrame, name: str, p: str, q: str) -> DataFrame:
     """Adds the Jensen-Shannon distance (base 2, 0 to 1) of two histograms of one length; null if one of them is empty.
@@ -93,6 +95,9 @@ def references(d: DataFrame) -> DataFrame:
 
 def judge(d: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds class_distance, word_distance (null under the length guards) and kept."""
+    refs = cut(refs)
+    # a row for each language: sent to all tasks if there are as few as that, else joined as any table
+    refs = F.broadcast(refs) if refs.count() <= MANY_LANGUAGES else refs
     d = d.withColumn("__lang", F.coalesce("lang", F.lit(""))).join(refs, "__lang", "left")
     size = F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
     d = _js_distance(d, "class_distance", "classes", "class_ref")
@@ -114,7 +119,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     names, key = docs.columns, "__row"
     row = F.struct(*(docs[c] for c in names))
     d = docs.select(row.alias(key), docs["lang"].alias("lang"), docs["text"].alias("text"))
-    refs = cut(references(histograms(d.select("lang", "text"))))
+    refs = references(histograms(d.select("lang", "text")))
     # the optimizer doesn't push a filter below the projection that numbers rows; it would compute everything anew there
-    numbered = base_counts(histograms(d)).withColumn("__number", F.monotonically_increasing_id())
-    return judge(numbered, refs).where("kept and __number >= 0").select(f"{key}.*")
+    judged = judge(base_counts(histograms(d)), refs).withColumn("__number", F.monotonically_increasing_id())
+    return judged.where("kept and __number >= 0").select(f"{key}.*")
