@@ -11,8 +11,8 @@ from quarry.plans.cut import cut
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Undirected components of an edge list: (node, component), component being the smallest node.
 
-    Each round hooks every node to its smallest neighbour, jumps pointers once and contracts the edges, so that the
-    edge list shrinks at every round and a star or a chain needs few of them.  Minima are taken with partial
+    Each round hooks every node to its smallest neighbour, jumps pointers to the roots and contracts the edges, so that
+    the edge list shrinks at every round and a star or a chain needs few of them.  Minima are taken with partial
     aggregation; no neighbourhood is ever gathered.  Nodes without an edge to another node don't appear: self loops and
     rows with a null end are ignored, repeated edges count once, an empty edge list gives an empty result.
     """
@@ -23,8 +23,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while not e.isEmpty():
         both = e.select(a.alias("n"), b.alias("m")).unionAll(e.select(b.alias("n"), a.alias("m")))
         hook = cut(both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("p")))
-        onward = hook.select(F.col("n").alias("p"), F.col("p").alias("root"))
-        parent = cut(hook.join(onward, "p").select("n", F.col("root").alias("p")))
+        parent = hook
+        while True:  # the way to the root halves each time
+            onward = parent.select(F.col("n").alias("p"), F.col("p").alias("root"))
+            parent = cut(parent.join(onward, "p").select("n", F.col("root").alias("p"), (F.col("p") != F.col("root")).alias("moved")))
+            if parent.where("moved").isEmpty():
+                break
+            parent = parent.select("n", "p")
         if labels is None:
             labels = parent.select(F.col("n").alias("node"), F.col("p").alias("component"))
         else:
