@@ -78,15 +78,15 @@ def jo03_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT user_id, event_id AS span_id, floor(epoch(ts))::BIGINT AS start, floor(epoch(ts))::BIGINT + 86400 * (1 + event_id % 5) AS stop FROM events WHERE event_type = 'signup'),
- p AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS at FROM events WHERE event_type = 'error')
-SELECT event_id, p.user_id, at, arg_min(span_id, (stop - start) * 1000000000 + span_id) AS span_id
-FROM p LEFT JOIN s ON s.user_id = p.user_id AND at BETWEEN start AND stop GROUP BY ALL
+ p AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec FROM events WHERE event_type = 'error')
+SELECT event_id, p.user_id, sec, arg_min(span_id, (stop - start) * 1000000000 + span_id) AS span_id
+FROM p LEFT JOIN s ON s.user_id = p.user_id AND sec BETWEEN start AND stop GROUP BY ALL
 """)
 def jo07_innermost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors with the shortest period after a signup of the same user that holds them."""
-    e = table(spark, sf_dir, "events").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
-    spans = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span_id"), F.col("at").alias("start"), (F.col("at") + 86400 * (1 + F.col("event_id") % 5)).alias("stop"))
-    return joins.innermost(e.where("event_type = 'error'").select("event_id", "user_id", "at"), spans, "user_id", "at", 86400)
+    e = table(spark, sf_dir, "events").withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
+    spans = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span_id"), F.col("sec").alias("start"), (F.col("sec") + 86400 * (1 + F.col("event_id") % 5)).alias("stop"))
+    return joins.innermost(e.where("event_type = 'error'").select("event_id", "user_id", "sec"), spans, "user_id", "sec", 86400)
 
 
 @query("""
@@ -265,3 +265,103 @@ def sea05_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def strm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_stream.streamed_counts(spark, sf_dir, "events.parquet")
+
+
+@query("""
+SELECT l_partkey AS caller, count(DISTINCT l_suppkey) AS n_callees, min(l_suppkey) AS first_callee, count(*) AS n_calls FROM lineitem GROUP BY 1
+""")
+def g13_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each node calls: distinct targets, the smallest, and all calls."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.groupBy(F.col("l_partkey").alias("caller")).agg(F.countDistinct("l_suppkey").alias("n_callees"), F.min("l_suppkey").alias("first_callee"), F.count("*").alias("n_calls"))
+
+
+@query("""
+WITH o AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'), s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'N')
+SELECT o.l_partkey, o.l_suppkey FROM o ANTI JOIN s ON o.l_partkey = s.l_partkey AND o.l_suppkey = s.l_suppkey
+""")
+def g17_novel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed edges that the static ones lack."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    edges = lambda flag: l.where(F.col("l_returnflag") == flag).select("l_partkey", "l_suppkey").distinct()
+    return edges("R").join(edges("N"), ["l_partkey", "l_suppkey"], "left_anti")
+
+
+@query("""
+SELECT p_type, p_partkey, rank FROM (SELECT p_type, p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_size, p_partkey) - 1 AS rank FROM part) WHERE rank < 300
+""")
+def g09_rank_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 300 candidates that rank first, numbered from 0; the limit is taken before the numbering."""
+    top = table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_size", "p_partkey").limit(300)
+    by = Window.orderBy(F.desc("p_retailprice"), "p_size", "p_partkey")
+    return top.select("p_type", "p_partkey", (F.row_number().over(by) - 1).cast("bigint").alias("rank"))
+
+
+@query("""
+WITH l AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i, l_partkey, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS confidence, l_orderkey, l_linenumber FROM lineitem),
+ r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY confidence DESC, l_orderkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_partkey) AS n FROM l)
+SELECT l_partkey, l_orderkey, l_linenumber, confidence, n AS n_merged FROM r WHERE k = 1
+""")
+def rnk03_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One finding for each key: the surest, then the earliest; with how many it stands for."""
+    sure = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0).alias("confidence")
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", sure)  # noqa: E741
+    least = F.min(F.struct((-F.col("confidence")).alias("c"), "l_orderkey", "l_linenumber")).alias("x")
+    g = l.groupBy("l_partkey").agg(least, F.count("*").alias("n_merged"))
+    return g.select("l_partkey", "x.l_orderkey", "x.l_linenumber", (-F.col("x.c")).alias("confidence"), "n_merged")
+
+
+@query("""
+SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY 1
+""")
+def agg08_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(*(F.count_if(F.col("event_type") == t).alias(t) for t in ("click", "purchase", "error")))
+
+
+@query("""
+SELECT lang, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('mix:' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE k <= (n * 3 + 9) // 10
+""")
+def cur18_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tenths of each language, by the rank of a hash."""
+    d = table(spark, sf_dir, "documents").select("lang", "source", "doc_id")
+    by = Window.partitionBy("lang")
+    k = F.row_number().over(by.orderBy(F.sha2(F.concat(F.lit("mix:"), F.col("doc_id").cast("string")), 256), "doc_id"))
+    return d.withColumn("k", k).withColumn("n", F.count("*").over(by)).where("k <= (n * 3 + 9) div 10").select("lang", "source", "doc_id")
+
+
+_TAIL = "regexp_replace(regexp_replace(url, '#.*$', ''), '[?&](utm_[a-z]+|ref)=[^&]*', '', 'g')"
+
+
+@query(f"SELECT page_id, regexp_replace({_TAIL}, '/$', '') AS clean FROM pages")
+def prj_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls without fragment, tracking parameters and closing slash."""
+    u = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "[?&](utm_[a-z]+|ref)=[^&]*", "")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(u, "/$", "").alias("clean"))
+
+
+_SCANS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]+", "ipv4": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "phone": r"\+[0-9][0-9 -]{6,}[0-9]"}
+
+
+@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::BIGINT AS {n}" for n, p in _SCANS.items()) + " FROM documents")
+def str_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many addresses, hosts and numbers a text has."""
+    found = [F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("bigint").alias(n) for n, p in _SCANS.items()]
+    return table(spark, sf_dir, "documents").select("doc_id", *found)
+
+
+@query("""
+WITH b AS (SELECT item_id, lower(trim(text)) AS t FROM benchmark)
+SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item FROM documents JOIN b ON contains(lower(text), t) GROUP BY doc_id
+""")
+def cur02_leakset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage: joined by the passage's first words' hashes, then verified."""
+    n = 5
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("t")).withColumn("bw", F.split("t", " "))
+    # the first word may stand inside a longer one, so whole words are hashed from the second on
+    b = b.where(F.size("bw") > n + 1).select("item_id", "t", F.xxhash64(F.array_join(F.slice("bw", 2, n), " ")).alias("gram"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low")).withColumn("w", F.split("low", " "))
+    grams = F.transform("w", lambda _, i: F.xxhash64(F.concat_ws(" ", *(F.get("w", i + j) for j in range(n)))))
+    d = d.withColumn("g", F.array_distinct(grams)).select("doc_id", "low", F.explode_outer("g").alias("gram"))
+    hits = d.join(b, "gram").where(F.contains("low", F.col("t"))).select("doc_id", "item_id").distinct()
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
