@@ -362,6 +362,8 @@ def cur02_leakset(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = b.where(F.size("bw") > n + 1).select("item_id", "t", F.xxhash64(F.array_join(F.slice("bw", 2, n), " ")).alias("gram"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low")).withColumn("w", F.split("low", " "))
     grams = F.transform("w", lambda _, i: F.xxhash64(F.concat_ws(" ", *(F.get("w", i + j) for j in range(n)))))
-    d = d.withColumn("g", F.array_distinct(grams)).select("doc_id", "low", F.explode_outer("g").alias("gram"))
-    hits = d.join(b, "gram").where(F.contains("low", F.col("t"))).select("doc_id", "item_id").distinct()
+    # ids alone meet the passages; only the texts of candidates are read again to be verified
+    ids = d.withColumn("g", F.array_distinct(grams)).select("doc_id", F.explode_outer("g").alias("gram"))
+    candidates = ids.join(b, "gram").select("doc_id", "item_id", "t").distinct()
+    hits = d.select("doc_id", "low").join(candidates, "doc_id").where(F.contains("low", F.col("t"))).select("doc_id", "item_id").distinct()
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
