@@ -48,3 +48,11 @@ def fuse(rankings: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     for r in rankings[1:]:
         every = every.unionAll(r.select(key, "rank"))
     return every.groupBy(key).agg(F.round(F.sum(1 / (F.col("rank") + k)), 6).alias("score"))
+
+
+def hybrid(vector: DataFrame, keyword: DataFrame, key: str, k: int = 60) -> DataFrame:
+    """key, score, matched (vector, keyword or both): reciprocal rank fusion of two rankings (key, rank from 1)."""
+    v, w = vector.select(key, F.col("rank").alias("__v")), keyword.select(key, F.col("rank").alias("__w"))
+    part = lambda c: F.coalesce(1 / (F.col(c) + k), F.lit(0.0))
+    matched = F.when(F.col("__w").isNull(), "vector").when(F.col("__v").isNull(), "keyword").otherwise("both")
+    return v.join(w, key, "full_outer").select(key, F.round(part("__v") + part("__w"), 6).alias("score"), matched.alias("matched"))
