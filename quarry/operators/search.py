@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.cut import cut
+
 
 def chunks(docs: DataFrame, lines: int = 60) -> DataFrame:
     """doc_id, chunk, n_lines, first_line of each block of `lines` lines."""
@@ -19,7 +21,8 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) ->
     d = docs.select("doc_id", words.alias("w")).withColumn("n", F.size("w"))
     for i, t in enumerate(terms):
         d = d.withColumn(f"t{i}", F.size("w") - F.size(F.array_remove("w", t)))
-    d = d.drop("w")
+    # counts only, a few numbers a document: else the filter on the score splits each text again for every term
+    d = cut(d.drop("w"))
     s = d.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
