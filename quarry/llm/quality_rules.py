@@ -68,6 +68,9 @@ def base_counts(d: DataFrame) -> DataFrame:
 
 #: The largest distances from its language's reference that a document may have, and the least sizes that are judged.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_BYTES, MIN_WORDS = 0.32, 0.45, 200, 50
+#: A text without any common word lies at a distance that its language's share of common words gives.  Documents beyond this part
+#: of it are far too, if that share leads one to expect so many common words among theirs (8: one text in 2,900 has none by chance).
+NO_COMMON, MIN_EXPECTED = 0.97, 8
 
 MANY_LANGUAGES = 1000
 
@@ -93,9 +96,18 @@ def references(d: DataFrame) -> DataFrame:
     return ref.select("__lang", pick("classes", len(CLASSES) + 2).alias("class_ref"), pick("commons", len(WORDS) + 1).alias("common_ref"))
 
 
+def with_common_share(refs: DataFrame) -> DataFrame:
+    """Adds __share (common words among all words of the language) and __without (the word distance of a text that has none)."""
+    rest = F.element_at("common_ref", -1) / F.nullif(F.aggregate("common_ref", F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))
+    refs, rest = refs.withColumn("__rest", rest), F.col("__rest")
+    alike = F.when(rest > 0, rest * F.log2(2 * rest / (1 + rest))).otherwise(0.0)
+    without = F.sqrt(F.greatest((F.log2(2 / (1 + rest)) + (1 - rest) + alike) / 2, F.lit(0.0)))
+    return refs.withColumn("__share", 1 - rest).withColumn("__without", without).drop("__rest")
+
+
 def judge(d: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds class_distance, word_distance (null under the length guards) and kept."""
-    refs = cut(refs)
+    refs = with_common_share(cut(refs))
     # a row for each language: sent to all tasks if there are as few as that, else joined as any table
     refs = F.broadcast(refs) if refs.count() <= MANY_LANGUAGES else refs
     d = d.withColumn("__lang", F.coalesce("lang", F.lit(""))).join(refs, "__lang", "left")
@@ -104,8 +116,9 @@ def judge(d: DataFrame, refs: DataFrame) -> DataFrame:
     d = _js_distance(d, "word_distance", "commons", "common_ref")
     d = d.withColumn("class_distance", F.when(size >= MIN_BYTES, F.col("class_distance")))
     d = d.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, F.col("word_distance")))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return d.withColumn("kept", ~F.col("base_failed") & ~far).drop("__lang", "class_ref", "common_ref", "classes", "commons")
+    bare = F.when(F.col("n_words") * F.col("__share") >= MIN_EXPECTED, NO_COMMON * F.col("__without"))
+    far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > F.least(F.lit(MAX_WORD_DISTANCE), bare))
+    return d.withColumn("kept", ~F.col("base_failed") & ~far).drop("__lang", "class_ref", "common_ref", "classes", "commons", "__share", "__without")
 
 
 def quality(docs: DataFrame) -> DataFrame:
