@@ -1,12 +1,20 @@
 """Queries over whole tables: no modulo filter and no id prefix stands between a query and its table."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from quarry.operators import search
 from tests.conftest import TESTDATA
 from tests.test_oracle import TABLES, rows
 
+KNN = """
+WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+ s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM q JOIN embeddings ON vec_id <> query_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
+"""
+
 #: The registered SQL of these queries still has the filters that the queries had; this is the same SQL without them.
 WHOLE = {
     "g16_components": """
@@ -14,6 +22,8 @@ WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_orderkey + 1 AS b FROM l
  w(n, root) AS (SELECT a, a FROM e WHERE a NOT IN (SELECT b FROM e) UNION ALL SELECT e.b, w.root FROM w JOIN e ON e.a = w.n)
 SELECT n AS node, root AS component FROM w
 """,
+    "sea02_knn": KNN + "SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 10",
+    "sea05_rrf": KNN + "SELECT vec_id, round(sum(1 / (rank + 60)), 6) AS score FROM r WHERE rank <= 10 GROUP BY 1",
 }
 
 
@@ -31,3 +41,24 @@ def test_whole(spark, duck, sf_dir, name):
     want = duck.execute(WHOLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("blocks", [(2, 3), (256, 4096)])
+def test_knn_in_blocks(spark, blocks):
+    rng = np.random.default_rng(4)
+    v = {i: rng.normal(size=3).round(1).tolist() for i in range(40)} | {i: [1.0, 2.0, 2.0] for i in range(40, 60)}
+    v |= {60: None, 61: [1.0, None, 2.0], 62: [1.0, 2.0], 63: [0.0, 0.0, 0.0]}
+    d = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>")
+    unit = {i: np.float32(x).astype(float) for i, x in v.items() if i < 60}
+
+    def similarity(a, b):
+        return round(float(a @ b / np.sqrt(a @ a * (b @ b))), 6)
+
+    want = set()
+    for q in range(0, 60, 5):
+        near = sorted((-similarity(unit[q], x), i) for i, x in unit.items() if i != q)
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(near[:7], 1)}
+    got = search.knn(d, d.where("vec_id % 5 = 0 and vec_id < 60"), 7, *blocks).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.similarity) for r in got} == want
+    assert all(r.similarity is None for r in search.knn(d, d.where("vec_id >= 60"), 3, *blocks).where("query_id <> 62").collect())
+    assert search.knn(d, d.limit(0), 7).count() == search.knn(d.limit(0), d, 7).count() == 0
