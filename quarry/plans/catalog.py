@@ -225,21 +225,21 @@ def sea01_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.chunks(table(spark, sf_dir, "documents"))
 
 
-_TERMS = ["the", "with", "license"]
+TERMS = ["the", "with", "license"]
 _BM25 = """
 WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^a-z]+') AS w FROM documents),
  d AS (SELECT doc_id, len(w) AS n, {counts} FROM w), s AS (SELECT count(*) AS c, avg(n) AS mean, {dfs} FROM d)
 SELECT doc_id, round({score}, 6) AS score FROM d, s WHERE {score} > 0
 """.format(
-    counts=", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(_TERMS)),
-    dfs=", ".join(f"count(*) FILTER (t{i} > 0) AS df{i}" for i in range(len(_TERMS))),
-    score=" + ".join(f"ln(1 + (c - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))" for i in range(len(_TERMS))),
+    counts=", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(TERMS)),
+    dfs=", ".join(f"count(*) FILTER (t{i} > 0) AS df{i}" for i in range(len(TERMS))),
+    score=" + ".join(f"ln(1 + (c - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))" for i in range(len(TERMS))),
 )
 
 
 @query(_BM25)
 def sea04_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(table(spark, sf_dir, "documents"), _TERMS)
+    return search.bm25(table(spark, sf_dir, "documents"), TERMS)
 
 
 _KNN = """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import code
 from quarry.operators import balance, curation, detect, evaluation, leads, matching, paths, search
 from quarry.plans import store
-from quarry.plans.catalog import query, table
+from quarry.plans.catalog import TERMS, query, table
 
 
 @query("""
@@ -49,7 +49,7 @@ SELECT s.o_orderkey, a.short FROM a JOIN s ON s.repo = a.repo AND starts_with(s.
 def jo18_sha_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abbreviated hashes found again in their repository: joined by their first seven digits, then compared whole."""
     s = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("repo"), F.sha1(F.col("o_orderkey").cast("string")).alias("sha"))
-    a = s.where("o_orderkey % 50 = 1").select("repo", F.expr("substr(sha, 1, 7 + cast(o_orderkey % 5 as int))").alias("short"))
+    a = s.select("repo", F.expr("substr(sha, 1, 7 + cast(o_orderkey % 5 as int))").alias("short"))
     seven = lambda c: F.substring(c, 1, 7)
     a, s = a.withColumn("head", seven("short")), s.withColumn("head", seven("sha"))
     return s.join(a, ["repo", "head"]).where(F.startswith("sha", F.col("short"))).select("o_orderkey", "short")
@@ -308,10 +308,20 @@ WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM embed
 SELECT coalesce(v.vec_id, k.vec_id) AS vec_id, round(coalesce(1 / (60 + v.rank), 0) + coalesce(1 / (60 + k.rank), 0), 6) AS score, CASE WHEN k.vec_id IS NULL THEN 'vector' WHEN v.vec_id IS NULL THEN 'keyword' ELSE 'both' END AS matched FROM v FULL JOIN k ON v.vec_id = k.vec_id
 """)
 def sea06_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings fused, with where each hit comes from."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id")
-    rank = lambda d, *o: d.withColumn("rank", F.row_number().over(Window.orderBy(*o)))
-    return search.hybrid(rank(e.where("vec_id % 7 = 0"), "vec_id"), rank(e.where("vec_id % 5 = 0"), F.desc("vec_id")), "vec_id")
+    """Searches by a vector and by terms over all vectors and texts, fused, with where each hit comes from.
+
+    A search goes out from each vector whose id 50 divides; a text's vector has its id.  As in the reference, 20 of each
+    ranking are fused.
+    """
+    depth = 20
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = v.where("vec_id % 50 = 0")
+    vector = search.knn(v, asked, depth).select("query_id", "vec_id", "rank")
+    best = search.bm25(table(spark, sf_dir, "documents"), TERMS).orderBy(F.desc("score"), "doc_id").limit(depth)
+    best = best.select(F.col("doc_id").alias("vec_id"), F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"))
+    # the terms' ranking is the same for all searches: 20 rows for each
+    keyword = asked.select(F.col("vec_id").alias("query_id")).distinct().crossJoin(F.broadcast(best))
+    return search.hybrid(vector, keyword, ["query_id", "vec_id"])
 
 
 @query("""

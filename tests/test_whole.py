@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quarry.operators import search
+from quarry.plans import catalog
 from tests.conftest import TESTDATA
 from tests.test_oracle import TABLES, rows
 
@@ -24,6 +25,16 @@ SELECT n AS node, root AS component FROM w
 """,
     "sea02_knn": KNN + "SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 10",
     "sea05_rrf": KNN + "SELECT vec_id, round(sum(1 / (rank + 60)), 6) AS score FROM r WHERE rank <= 10 GROUP BY 1",
+    "jo18_sha_prefix": """
+WITH s AS (SELECT o_orderkey, o_orderpriority AS repo, sha1(o_orderkey::VARCHAR) AS sha FROM orders), a AS (SELECT repo, substr(sha, 1, 7 + (o_orderkey % 5)::INT) AS short FROM s)
+SELECT s.o_orderkey, a.short FROM a JOIN s ON s.repo = a.repo AND starts_with(s.sha, a.short)
+""",
+    "sea06_hybrid": KNN + f""",
+ b AS ({catalog.oracle_sql()["sea04_bm25"]}), k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b),
+ v AS (SELECT query_id, vec_id, rank FROM r WHERE rank <= 20), w AS (SELECT query_id, doc_id AS vec_id, rank FROM q, k WHERE rank <= 20)
+SELECT coalesce(v.query_id, w.query_id) AS query_id, coalesce(v.vec_id, w.vec_id) AS vec_id, round(coalesce(1 / (60 + v.rank), 0) + coalesce(1 / (60 + w.rank), 0), 6) AS score,
+ CASE WHEN w.rank IS NULL THEN 'vector' WHEN v.rank IS NULL THEN 'keyword' ELSE 'both' END AS matched FROM v FULL JOIN w ON v.query_id = w.query_id AND v.vec_id = w.vec_id
+""",
 }
 
 
