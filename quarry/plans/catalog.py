@@ -354,15 +354,26 @@ WITH b AS (SELECT item_id, lower(trim(text)) AS t FROM benchmark)
 SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item FROM documents JOIN b ON contains(lower(text), t) GROUP BY doc_id
 """)
 def cur02_leakset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage: joined by the passage's first words' hashes, then verified."""
+    """Documents that hold a benchmark passage: joined by the passage's first words' hashes, then verified.
+
+    Passages of three to six words are joined by as many inner words as they have; those of one or two words, which have
+    no inner one, are looked up in each text.
+    """
     n = 5
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("t")).withColumn("bw", F.split("t", " "))
-    # the first word may stand inside a longer one, so whole words are hashed from the second on
-    b = b.where(F.size("bw") > n + 1).select("item_id", "t", F.xxhash64(F.array_join(F.slice("bw", 2, n), " ")).alias("gram"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("t")).where("t is not null").withColumn("bw", F.split("t", " "))
+    # the first and last word may stand inside longer ones, so whole words are hashed from the second to the last but one
+    b = b.select("item_id", "t", "bw", F.least(F.lit(n), F.greatest(F.lit(0), F.size("bw") - 2)).alias("size"))
+    sizes = sorted(r["size"] for r in b.select("size").distinct().collect())
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low")).withColumn("w", F.split("low", " "))
-    grams = F.transform("w", lambda _, i: F.xxhash64(F.concat_ws(" ", *(F.get("w", i + j) for j in range(n)))))
-    # ids alone meet the passages; only the texts of candidates are read again to be verified
-    ids = d.withColumn("g", F.array_distinct(grams)).select("doc_id", F.explode_outer("g").alias("gram"))
-    candidates = ids.join(b, "gram").select("doc_id", "item_id", "t").distinct()
-    hits = d.select("doc_id", "low").join(candidates, "doc_id").where(F.contains("low", F.col("t"))).select("doc_id", "item_id").distinct()
+    grams = lambda k: F.transform("w", lambda _, i: F.xxhash64(F.concat_ws(" ", *(F.get("w", i + j) for j in range(k)))))
+    hits = d.select("doc_id", "low").join(b.where("size = 0").select("item_id", "t"), F.contains("low", F.col("t"))).select("doc_id", "item_id").distinct() if 0 in sizes else None
+    if any(sizes):
+        long = b.where("size > 0").select("item_id", "t", F.xxhash64(F.array_join(F.slice("bw", F.lit(2), F.col("size")), " ")).alias("gram"))
+        # ids alone meet the passages; only the texts of candidates are read again to be verified
+        ids = d.withColumn("g", F.array_distinct(F.concat(*(grams(k) for k in sizes if k)))).select("doc_id", F.explode_outer("g").alias("gram"))
+        candidates = ids.join(long, "gram").select("doc_id", "item_id", "t").distinct()
+        found = d.select("doc_id", "low").join(candidates, "doc_id").where(F.contains("low", F.col("t"))).select("doc_id", "item_id").distinct()
+        hits = found if hits is None else hits.unionAll(found).distinct()
+    if hits is None:
+        hits = d.join(b, F.lit(False)).select("doc_id", "item_id")
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))

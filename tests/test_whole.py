@@ -73,3 +73,24 @@ def test_knn_in_blocks(spark, blocks):
     assert {(r.query_id, r["rank"], r.vec_id, r.similarity) for r in got} == want
     assert all(r.similarity is None for r in search.knn(d, d.where("vec_id >= 60"), 3, *blocks).where("query_id <> 62").collect())
     assert search.knn(d, d.limit(0), 7).count() == search.knn(d.limit(0), d, 7).count() == 0
+
+
+def test_leakset_finds_short_passages(spark, tmp_path):
+    passages = ["one", "Two words", "here are three", "now there are four", "and these five are words", "six words stand in this passage", "seven words are what this passage has"]
+    passages += ["ends", "  ne two wor ", "", "a  b", "not in any of the texts", None]
+    texts = ["none", "xtwo wordsy and two", "where are threes", "now there are  four", "know there are fourteen", "x and these five are words", "and these five are word"]
+    texts += ["six words stand in this passage and seven words are what this passage has", "line\nends here are\nthree", "one two words", "a b a  b", "", None]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = entry.queries()["cur02_leakset"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(c.execute(entry.oracle_sql()["cur02_leakset"]).df())
+    assert len(got) == 12
+    c.execute("CREATE OR REPLACE TABLE x AS FROM benchmark WHERE item_id IN (2, 3, 4, 5, 6)")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").where("item_id between 2 and 6").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    spark.read.parquet(f"{tmp_path}/documents.parquet").write.parquet(f"{tmp_path}/b/documents.parquet")
+    c.execute("CREATE OR REPLACE VIEW benchmark AS FROM x")
+    got = entry.queries()["cur02_leakset"](spark, f"{tmp_path}/b").toPandas()
+    assert len(got) and rows(got) == rows(c.execute(entry.oracle_sql()["cur02_leakset"]).df())
