@@ -48,11 +48,11 @@ def node(url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst): canonical links and refresh redirects in the pages' html, relative targets resolved."""
+    """(src, dst): all canonical links and refresh redirects in the pages' html, relative targets resolved."""
     low = F.lower("html")
     has = F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("refresh"))
-    to = F.filter(F.array(F.regexp_extract("html", _REL, 1), F.regexp_extract("html", _META, 1)), lambda x: x != "")
-    links = pages.where(has).select("url", F.explode(to).alias("to"))
+    to = F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in (_REL, _META)))
+    links = pages.where(has).select("url", F.explode(F.array_distinct(F.filter(to, lambda x: x != ""))).alias("to"))
     to, url = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&")), F.col("url")
     root = F.regexp_extract(url, r"(?s)^([^:]*://[^/?#]*)", 1)
     folder = F.regexp_extract(url, r"(?s)^([^:]*://[^/?#]*[^?#]*/)", 1)
