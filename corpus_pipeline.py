@@ -43,7 +43,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("mixing", mix), ("encoding", encode)]
 
-#: No SQL: the fingerprints' hash and the tokenizer have no counterpart there; a test holds run() against brute force.
+#: No SQL: the fingerprints' hash and the tokenizer have no counterpart there; tests hold the
+#: first three stages against plain Python, mixing against op3's SQL and the encoding against the tokenizers library.
 ORACLE_SQL = None
 
 
