@@ -1,9 +1,11 @@
 """License scans: base phrases, and diagonal voting of word k-grams against license templates (DataFrame only).
 
-All rolling k-gram hashes of a document are joined with the positions of the same k-grams in the templates.  Hits are
-summed by (document, template, offset diagonal) before anything is shuffled, neighbouring diagonals are merged, and a
-span counts if it covers enough of the template's words within a length like the template's.  A hit is compared word by
-word, so hashes only preselect.  The table of templates is a parameter of a few hundred k-grams.
+All rolling k-gram hashes of a text are joined with the positions of the same k-grams in the templates.  Hits are
+summed by (text, template, offset diagonal) before anything is shuffled, and diagonals at most DRIFT apart are merged to
+bands.  A band whose hits cover enough of the template's words is verified by windows: of the hits of one band, those
+that lie within a length like the template's from some hit on must cover enough of it; the best window is the span.  A
+hit is compared word by word, so hashes only preselect.  A text is known by its digest, so that rows that share an id
+are judged by their own texts and rows that share a text are voted on once.
 """
 
 from __future__ import annotations
@@ -14,40 +16,27 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.license_texts import NOTICES, TEXTS
 from quarry.llm.text import literal_rows, split_words, whole
 from quarry.plans.cut import cut
+from quarry.plans.skew import heavy, spread_join
 
 K, DRIFT, COVERED, STRETCH = 3, 3, 0.8, 1.5
+#: Words of all templates up to which they are sent to all tasks; beyond it they are joined as any table.
+SENT = 50_000
 _NOT_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 _ENDS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrase, label.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-# Notices as their licenses or usual practice word them.
-TEMPLATES = [
-    ("mit", "Released under the MIT License"),
-    ("mit", "This project is licensed under the terms of the MIT license"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-]
+TEMPLATES = [*NOTICES, *TEXTS]
 
 
 def words(text: Column) -> Column:
-    """The words of a text, lower-cased.  (Lower-casing more than A-Z moves no word's bounds.)"""
-    return split_words(F.lower(whole(text)), f"[{_NOT_WORD}]+", _ENDS)
+    """The words of a text, A-Z lower-cased."""
+    return split_words(F.translate(whole(text), _UPPER, _LOWER), f"[{_NOT_WORD}]+", _ENDS)
 
 
 def grams(k: int = K) -> Column:
@@ -79,50 +68,74 @@ def with_base(d: DataFrame, phrases=PHRASES) -> DataFrame:
 
 
 def template_grams(spark, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """(template, label, length, tpos, gram, tw): a template's k-grams with their hashes and words."""
-    t = literal_rows(spark, ["template", "label", "text"], [(i, *x) for i, x in enumerate(templates)])
-    t = t.select("template", "label", words(F.col("text")).alias("w"))
+    """(template, label, length, tpos, gram, tw): a template's k-grams with their hashes and words.
+
+    templates: (label, text) pairs, or a table of these columns.  A template of fewer than k words has no k-grams.
+    """
+    if isinstance(templates, DataFrame):
+        t = templates.select(F.xxhash64("label", "text").alias("template"), "label", "text").distinct()
+    else:
+        t = literal_rows(spark, ["template", "label", "text"], [(i, *x) for i, x in enumerate(templates)])
+    t = t.select(F.col("template").cast("long").alias("template"), "label", words(F.col("text")).alias("w"))
     t = t.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("length", F.size("w")).withColumn("g", grams(k))
     t = t.select("template", "label", "length", "w", F.posexplode_outer("g").alias("tpos", "gram"))
     return t.select("template", "label", "length", "tpos", "gram", F.slice("w", F.col("tpos") + 1, F.lit(k)).alias("tw"))
 
 
+def _coverage(tposes: Column, k: int) -> Column:
+    """The share of the template's words that k-grams at these of its positions cover."""
+    covered = F.array_distinct(F.flatten(F.transform(tposes, lambda p: F.sequence(p, p + (k - 1)))))
+    return F.size(covered) / F.col("length")
+
+
 def spans(d: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """(doc_id, label, coverage, start, stop): verified template spans in rows of (doc_id, w)."""
+    """(key, template, label, coverage, start, stop, copies): the best verified span of each template and band in rows of
+    (key, w), rows of one key having equal words; copies is how many rows have the key."""
     t = template_grams(d.sparkSession, templates, k)
     g = d.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("g", grams(k))
     # outer: else the optimizer filters by the size of g below all projections, where g is computed word by word again
-    g = g.select("doc_id", "w", F.posexplode_outer("g").alias("pos", "gram"))
-    # the templates are a fixed list: the size of this side doesn't depend on the input
-    hits = g.join(F.broadcast(t), "gram").where(F.slice("w", F.col("pos") + 1, F.lit(k)) == F.col("tw"))
-    hits = hits.select("doc_id", "template", "label", "length", "tpos", "pos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-    votes = hits.groupBy("doc_id", "template", "label", "length", "diagonal").agg(
-        F.collect_set("tpos").alias("tposes"), F.min("pos").alias("start"), F.max("pos").alias("stop")
-    )
-    # a group of neighbouring diagonals ends where the next one is more than DRIFT away
-    by = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    g = g.select("key", "w", F.posexplode_outer("g").alias("pos", "gram"))
+    if not isinstance(templates, DataFrame) and sum(text.count(" ") + 1 for _, text in templates) <= SENT:
+        t = F.broadcast(t)
+    hits = g.join(t, "gram").where(F.slice("w", F.col("pos") + 1, F.lit(k)) == F.col("tw"))
+    hits = hits.select("key", "template", "label", "length", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
+    votes = hits.groupBy("key", "template", "label", "length", "diagonal").agg(F.collect_set("tpos").alias("tposes"), F.count("*").alias("n"))
+    votes = cut(votes)
+    # a band of neighbouring diagonals ends where the next one is more than DRIFT away
+    by = Window.partitionBy("key", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT, F.lit(True))
     votes = votes.withColumn("band", F.sum(fresh.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    band = votes.groupBy("doc_id", "template", "label", "length", "band").agg(
-        F.array_distinct(F.flatten(F.collect_list("tposes"))).alias("tposes"), F.min("start").alias("start"), (F.max("stop") + k).alias("stop")
+    band = votes.groupBy("key", "template", "label", "length", "band").agg(
+        F.array_distinct(F.flatten(F.collect_list("tposes"))).alias("all"), F.collect_list(F.struct("diagonal", "tposes")).alias("parts"), F.max((F.col("n") / F.size("tposes")).cast("long")).alias("copies")
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("tposes", lambda p: F.sequence(p, p + (k - 1))))))
-    band = band.withColumn("coverage", covered / F.col("length"))
-    fits = (F.col("coverage") >= COVERED) & (F.col("stop") - F.col("start") <= F.col("length") * STRETCH + DRIFT)
-    return band.where(fits).select("doc_id", "label", "coverage", "start", "stop")
+    band = band.where(_coverage(F.col("all"), k) >= COVERED).select("key", "template", "label", "length", "band", "copies", F.explode("parts").alias("part"))
+    hit = band.select("key", "template", "label", "length", "band", "copies", "part.diagonal", F.explode("part.tposes").alias("tpos")).withColumn("pos", F.col("diagonal") + F.col("tpos"))
+    # places by the longest way between a window's first and last hit, which is less than 1 then, and more than 1 one word further
+    reach = F.floor(F.col("length") * F.lit(STRETCH)) + F.lit(DRIFT - k + 0.5)
+    on = Window.partitionBy("key", "template", "band").orderBy("place").rangeBetween(0, 1)
+    hit = hit.withColumn("place", F.col("pos").cast("double") / reach)
+    hit = hit.withColumn("in", F.collect_set("tpos").over(on)).withColumn("stop", F.max("pos").over(on) + k).withColumn("coverage", _coverage(F.col("in"), k))
+    best = F.max(F.struct("coverage", (-F.col("pos")).alias("before"), "stop")).alias("best")
+    found = hit.where(F.col("coverage") >= COVERED).groupBy("key", "template", "label", "band").agg(best, F.max("copies").alias("copies"))
+    return found.select("key", "template", "label", "best.coverage", (-F.col("best.before")).alias("start"), "best.stop", "copies")
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int = K) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs (doc_id, text).
 
     score is the largest share of a template that a span covers; 1 if there is a base phrase; 0 without either.  A null
-    text is empty and has no words; rows that share a doc_id, null included, share the labels that templates give; an
-    empty table gives an empty result.
+    text is empty and has no words; a text is taken whole, however long, in one row; rows that share a doc_id, null
+    included, are judged by their own texts; rows alike in both give rows alike; ties between spans don't show, since
+    labels are sets and scores maxima; an empty table gives an empty result.
     """
-    d = docs.select("doc_id", words(F.col("text")).alias("w"))
-    base = with_base(d, phrases).select("doc_id", F.size("w").cast("long").alias("n_words"), "n_base", "first_word", "last_word", "base_set")
-    found = cut(spans(d, templates, k).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("label").alias("more"), F.max("coverage").alias("coverage")))
-    r = base.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    # a text's key is a digest of it, with its length: the same at each reading, whatever task reads it
+    key = F.concat(F.md5(F.encode(whole(F.col("text")), "UTF-8")), F.char_length(whole(F.col("text"))).cast("string"))
+    d = docs.select("doc_id", key.alias("key"), words(F.col("text")).alias("w"))
+    base = with_base(d, phrases).select("doc_id", "key", F.size("w").cast("long").alias("n_words"), "n_base", "first_word", "last_word", "base_set")
+    found = spans(d.select("key", "w"), templates, k)
+    found = cut(found.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("coverage"), F.max("copies").alias("copies")))
+    total = found.agg(F.sum("copies")).first()[0] or 0  # rows that have spans
+    r = spread_join(base, found, "key", heavy(F.col("copies"), total))
     joined = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
     every = F.concat("base_set", F.coalesce("more", F.array().cast("array<string>")))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("coverage", F.lit(0.0)))
