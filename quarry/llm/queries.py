@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, licenses, line_crf, line_dedup, mixing, quality_rules, simhash, topk, toxicity, url_filter
+from quarry.plans import skew
 
 TOKENIZER = "word_bpe_49k.json"
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -90,17 +91,34 @@ FROM q LEFT JOIN matched m ON m.page_id = q.page_id AND m.url IS NOT DISTINCT FR
 """
 
 
+def _rounded(own: str, goal: str, name: str, table: str) -> str:
+    """One step of systematic rounding: adds the whole copies of each size, from the start that comes nearest to the goal."""
+    unit = mixing.UNIT
+    starts = [unit * (2 * i + 1) // (2 * mixing.OFFSETS) for i in range(mixing.OFFSETS)]
+    at = lambda u: f"((upto + {u}) // {unit} - (upto - {own} + {u}) // {unit})"
+    tried = ", ".join(f"{{'off': round(abs(coalesce(sum({at(u)} * size) OVER w, 0)::DOUBLE - goal), 3), 'u': {u}::BIGINT}}" for u in starts)
+    return f"""(
+  SELECT * EXCLUDE (upto, goal, u), {at("u")} AS {name} FROM (
+    SELECT *, list_min([{tried}]).u AS u FROM (
+      SELECT *, {goal} AS goal, sum({own}) OVER (PARTITION BY source ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS upto FROM {table} WINDOW w AS (PARTITION BY source)
+    ) WINDOW w AS (PARTITION BY source)
+  ))"""
+
+
 def _op3() -> str:
-    offsets = [(i + 0.5) / mixing.OFFSETS for i in range(mixing.OFFSETS)]
-    at = lambda u: f"(floor(again * k2 + {u}::DOUBLE) - floor(again * (k2 - 1) + {u}::DOUBLE))"
-    tries = ", ".join(f"{{'off': round(abs(sum(CASE WHEN heavy THEN 0 ELSE {at(u)} * size END) OVER w - rest), 3), 'u': {u}::DOUBLE}}" for u in offsets)
+    unit, most = mixing.UNIT, mixing.MOST
+    words = lambda c: f"coalesce(sum({c} * size) OVER w, 0)::DOUBLE"
     return f"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents
+), kinds AS (
+  SELECT doc_id, source, size, digest, count(*)::BIGINT AS m FROM d GROUP BY ALL
+), hist AS (
+  SELECT source, size, sum(m)::BIGINT AS n FROM kinds GROUP BY ALL
 ), s AS (
-  SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+  SELECT source, sum(n)::BIGINT AS n_docs, sum(size * n)::BIGINT AS source_size FROM hist GROUP BY source
 ), w AS (
-  SELECT *, ([5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s
+  SELECT *, ([5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * {most}::DOUBLE AS cap FROM s
 ), l AS (
   SELECT *, row_number() OVER o AS k,
     ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -109,25 +127,46 @@ WITH d AS (
 ), f AS (SELECT min(k) AS k, arg_min(level, k) AS level FROM l WHERE level * weight <= cap
 ), t AS (
   SELECT l.source, n_docs, source_size, CASE WHEN l.k < f.k OR f.k IS NULL THEN cap ELSE f.level * weight END AS target FROM l, f
+), x AS (
+  SELECT hist.source, n, size, target, size / (size + source_size / n_docs) AS x FROM hist JOIN t ON hist.source IS NOT DISTINCT FROM t.source
+  WHERE source_size > 0 AND target > 0 AND target < source_size * {most}::DOUBLE
+), newton AS (
+  SELECT source, 0::BIGINT AS step, 0::DOUBLE AS mu, {-mixing.WIDEST}::DOUBLE AS low, {mixing.WIDEST}::DOUBLE AS high, true AS open FROM x GROUP BY source
+  UNION ALL
+  SELECT source, step + 1, moved, low, high, NOT done AND moved <> mu FROM (
+    SELECT *, CASE WHEN done THEN mu WHEN mu - off / slope > low AND mu - off / slope < high THEN mu - off / slope ELSE (low + high) / 2 END AS moved FROM (
+      SELECT source, step, mu, off, slope, CASE WHEN off < 0 THEN mu ELSE low END AS low, CASE WHEN off > 0 THEN mu ELSE high END AS high, abs(off) <= {mixing.RESIDUAL}::DOUBLE * target AS done FROM (
+        SELECT i.source, step, mu, low, high, target, sum(n * size * exp(least(mu * x, ln({most}::DOUBLE)))) - target AS off,
+          nullif(sum(CASE WHEN mu * x < ln({most}::DOUBLE) THEN n * size * x * exp(mu * x) END), 0) AS slope
+        FROM newton i JOIN x ON i.source IS NOT DISTINCT FROM x.source WHERE open AND step < {mixing.STEPS} GROUP BY i.source, step, mu, low, high, target)))
+), mu AS (
+  SELECT source, round(arg_max(mu, step), 9) AS mu FROM newton GROUP BY source
 ), r AS (
-  SELECT *, CASE WHEN source_size > 0 AND target > 0 THEN least(2.0::DOUBLE, round(target / source_size, 9)) ELSE 0::DOUBLE END AS rate FROM t
-), b AS (
-  SELECT d.*, source_size, target, rate, (((coalesce(doc_id, 0) % 1000003 + 1000003) % 1000003) * 7919) % 1000003 % ceil(n_docs / {mixing.BUCKET}::DOUBLE)::BIGINT AS bucket
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
-), h AS (
-  SELECT *, sum(size) OVER w AS words, size * {mixing.HEAVY} > sum(size) OVER w AS heavy, row_number() OVER (PARTITION BY source, bucket ORDER BY size DESC, doc_id NULLS FIRST) AS k
-  FROM b WINDOW w AS (PARTITION BY source, bucket)
-), g AS (
-  SELECT *, CASE WHEN heavy THEN floor(rate * k + 0.5) - floor(rate * (k - 1) + 0.5) END AS first_copies FROM h
+  SELECT h.source, size, n, n_docs, source_size, target, floor({unit} * CASE WHEN size = 0 THEN 1 WHEN target <= 0 THEN 0 WHEN target >= source_size * {most}::DOUBLE THEN {most}
+    ELSE least({most}::DOUBLE, exp(coalesce(mu, 0) * (size / (size + source_size / n_docs)))) END + 0.5::DOUBLE)::HUGEINT AS rate
+  FROM hist h JOIN t ON h.source IS NOT DISTINCT FROM t.source LEFT JOIN mu ON h.source IS NOT DISTINCT FROM mu.source
 ), a AS (
-  SELECT *, rate * words - coalesce(sum(first_copies * size) OVER w, 0) AS rest, coalesce(sum(CASE WHEN NOT heavy THEN size END) OVER w, 0) AS light, k - count(*) FILTER (heavy) OVER w AS k2
-  FROM g WINDOW w AS (PARTITION BY source, bucket)
-), e AS (
-  SELECT *, CASE WHEN light = 0 THEN 0::DOUBLE ELSE round(least(2.0::DOUBLE, greatest(0::DOUBLE, rest / light)), 9) END AS again FROM a
-), u AS (
-  SELECT *, list_min([{tries}]).u AS u FROM e WINDOW w AS (PARTITION BY source, bucket)
-)
-SELECT doc_id, size, source_size, target, (coalesce(first_copies, floor(again * k2 + u) - floor(again * (k2 - 1) + u)) * size)::BIGINT AS taken FROM u
+  SELECT *, size * {mixing.HEAVY} > source_size AS heavy, CASE WHEN size * {mixing.HEAVY} > source_size THEN rate * n END AS own FROM r
+), b AS {_rounded("own", words("own") + f" / {unit}", "first_copies", "a")}, c AS (
+  SELECT *, CASE WHEN heavy THEN NULL WHEN size = 0 THEN rate * n
+    ELSE n * floor(least({most * unit}::DOUBLE, rate * coalesce(round(greatest(0, rest / nullif(light, 0)), 9), 0)) + 0.5::DOUBLE)::HUGEINT END AS own2
+  FROM (SELECT *, target - {words("first_copies")} AS rest, {words("CASE WHEN NOT heavy THEN rate * n END")} / {unit} AS light FROM b WINDOW w AS (PARTITION BY source))
+), e AS {_rounded("own2", "rest", "rest_copies", "c")}, classes AS (
+  SELECT source, size, n, source_size, target, coalesce(first_copies, rest_copies)::HUGEINT AS copies, CASE WHEN n * {skew.PARTS} > sum(n) OVER () THEN ceil(n / {mixing.BUCKET}::DOUBLE)::BIGINT ELSE 1 END AS parts FROM e
+), k AS (
+  SELECT kinds.*, n, source_size, target, copies, md5(coalesce(doc_id::VARCHAR, '') || ' ' || digest) AS pos,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || digest), 1, 8))::BIGINT % parts AS part
+  FROM kinds JOIN classes c ON kinds.source IS NOT DISTINCT FROM c.source AND kinds.size = c.size
+), p AS (
+  SELECT source, size, part, n, copies, sum(m) AS np FROM k GROUP BY ALL
+), q AS (
+  SELECT source, size, part, np, copies * sum(np) OVER o // n - copies * (sum(np) OVER o - np) // n AS part_copies FROM p WINDOW o AS (PARTITION BY source, size ORDER BY part ROWS UNBOUNDED PRECEDING)
+), v AS (
+  SELECT k.*, part_copies * sum(m) OVER o // np - part_copies * (sum(m) OVER o - m) // np AS together
+  FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source AND k.size = q.size AND k.part = q.part
+  WINDOW o AS (PARTITION BY k.source, k.size, k.part ORDER BY pos, doc_id ROWS UNBOUNDED PRECEDING)
+), y AS (SELECT *, unnest(range(1, m + 1)) AS j FROM v)
+SELECT doc_id, size, source_size, target, ((together * j // m - together * (j - 1) // m) * size)::BIGINT AS taken FROM y
 """
 
 
