@@ -1,10 +1,12 @@
 """SimHash near-dedup: an inverted index over byte positions with count filtering.
 
 Two 64-bit fingerprints that differ in three bits at most share five of their eight positional bytes at least.  Posting
-lists of single positional bytes (256 values) would hold a 256th of all documents each, and pairs in them would grow
-with the square of the corpus; so a posting list here is the one of three joint positions.  Of any five positions at
-least three lie in one half of the fingerprint, so the four triples of each half's positions, eight lists a fingerprint,
-miss no pair.  Inside a list the shared positional bytes of a pair are tallied; pairs with five or more are verified.
+lists of single positional bytes (256 values) would hold a 256th of all documents each, and the tallies of pairs in them
+would grow with the square of the corpus; so a posting list here is the one of three joint positions.  Of any five
+positions at least three lie in one half of the fingerprint, so the four triples of each half's positions, eight lists a
+fingerprint, hold every pair that can reach the minimum.  A pair's tally, the number of single-byte lists that hold both,
+is counted where it is met: it is the number of positions in which the two have the same byte.  Pairs with the minimum of
+five or more are kept and verified.
 
 Fingerprints are indexed once each, however many documents have them.  A list is compared in blocks, so a frequent one
 is dealt to as many tasks as its blocks have pairs, and each block pair gives a spanning forest of its links, not all
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from quarry.llm.line_dedup import texts_of
 from quarry.operators.components import connected_components
 from quarry.plans.cut import cut
+from quarry.plans.skew import heavy, lookup, spread_join
 
 SHINGLE, SEED, MAX_BITS, BYTES = 3, 42, 3, 8
 MIN_SHARED = BYTES - MAX_BITS
@@ -58,23 +61,26 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), fp the fingerprint as a signed long, for each row of docs (doc_id, text)."""
+    """(doc_id, fp), fp the fingerprint as a signed long, for each row of docs (doc_id, text); doc_id keeps its type."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return d.mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+
+
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the lists of (position, byte) hold both of each pair."""
+    return (a.view(np.uint8).reshape(-1, BYTES) == b.view(np.uint8).reshape(-1, BYTES)).sum(axis=1)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Whether each pair shares enough positional bytes and, if so, differs in few enough bits."""
-    x = a ^ b
-    shared = (x.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-    ok = shared >= BYTES - max_bits
-    ok[ok] = np.bitwise_count(x[ok]) <= max_bits
+    """Whether each pair has the guaranteed tally and, if so, differs in few enough bits."""
+    ok = tally(a, b) >= BYTES - max_bits
+    ok[ok] = np.bitwise_count(a[ok] ^ b[ok]) <= max_bits
     return ok
 
 
@@ -131,7 +137,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
     keys = [F.lit(n * (1 << 24)) + byte(a) * 65536 + byte(b) * 256 + byte(c) for n, (a, b, c) in enumerate(TRIPLES)]
     posts = cut(fps.select("fp", F.explode(F.array(*keys)).alias("key")))
     sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    posts = posts.join(sizes, "key")
+    posts = spread_join(posts, sizes, "key", heavy(F.col("n"), posts.count())).where("n is not null")
     # the list's blocks, two at a time; a list of one block is one tile
     blocks = F.ceil(F.col("n") / block)
     posts = posts.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
@@ -168,24 +174,25 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
 
 
 def _components(f: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, component_id, chosen) by distinct fingerprint; chosen: whether it is its component's, with the smallest id."""
-    classes = cut(f.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    """(fp, n, component_id, chosen) by distinct fingerprint; n: its rows; chosen: whether it is its component's, with the smallest id."""
+    classes = cut(f.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     comp = connected_components(links(classes.select("fp"), max_bits)).select(F.col("node").alias("fp"), "component")
-    of = classes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    of = cut(classes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     least = of.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("least"))
-    of = of.select("fp", "component").join(least, "component")
-    return of.select("fp", F.col("least.first").alias("component_id"), (F.col("fp") == F.col("least.fp")).alias("chosen"))
+    of = lookup(of.select("fp", "n", "component"), least, "component")
+    return of.select("fp", "n", F.col("least.first").alias("component_id"), (F.col("fp") == F.col("least.fp")).alias("chosen"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, fingerprint (16 hex digits), component_id for each row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links reach.  Null and empty texts have fingerprint zero and are linked like
-    any other; a component_id is null only if all ids of its component are; repeated rows are linked; an empty table gives
-    an empty result.
+    any other; a component_id is null only if all ids of its component are; repeated rows are linked; a text is taken
+    whole, however long; ids may be of any type that has an order; an empty table gives an empty result.
     """
     f = cut(fingerprints(docs))
-    r = f.join(_components(f, max_bits).drop("chosen"), "fp")
+    c = _components(f, max_bits).drop("chosen")
+    r = spread_join(f, c, "fp", heavy(F.col("n"), f.count()))
     return r.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -195,7 +202,7 @@ def keep_first(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     If rows repeat a doc_id, one of the component's least fingerprint with that id stays.
     """
     names = docs.columns
-    row = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.struct(*(docs[c] for c in names if c != "text")).alias("__row"))
+    row = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.struct(*(docs[c] for c in names if c != "text")).alias("__row"))
     f = cut(fingerprints(row))
     chosen = _components(f, max_bits).where("chosen").select(F.col("component_id").alias("__id"), F.col("fp").alias("__fp"))
 
@@ -204,7 +211,7 @@ def keep_first(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             fp = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=["doc_id", "text", "__row", "fp"])
 
-    kind = row.schema["__row"].dataType.simpleString()
-    d = row.mapInArrow(attach, f"doc_id bigint, text string, __row {kind}, fp bigint")
+    kind, own = (row.schema[c].dataType.simpleString() for c in ("doc_id", "__row"))
+    d = row.mapInArrow(attach, f"doc_id {kind}, text string, __row {own}, fp bigint")
     d = d.join(chosen, (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["fp", "doc_id"])
     return d.select(*(F.col("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in names))
