@@ -180,7 +180,7 @@ WITH d AS (
 ), bad AS (
   SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
 ), m AS (
-  SELECT k.*, bad.key IS NOT NULL AND k.doc_id <> bad.last AS gone FROM k LEFT JOIN bad USING (key)
+  SELECT k.*, bad.key IS NOT NULL AND k.doc_id IS DISTINCT FROM bad.last AS gone FROM k LEFT JOIN bad USING (key)
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
