@@ -202,5 +202,5 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * ids]
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
