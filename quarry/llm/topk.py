@@ -4,8 +4,12 @@ The tree is a farthest-first traversal of a bounded sample: its prefixes are nes
 centre hanging from the nearest one of the level above.  Every row, query or candidate, belongs to its nearest leaf, and
 each node's covering radius holds over all its rows, so bounds are exact though the centres come from a sample.  Scores
 against the sample give each query a k-th score that it surely reaches; a pair of nodes is pruned if no inner product
-inside its radii can reach the worst of these in the query node.  The pairs that remain are blocks of queries against
-blocks of candidates, a block of a bounded number of rows, however many rows share a leaf.
+inside its radii can reach the worst of these in the query node.
+
+What remains is streamed.  Queries stand in blocks of a bounded number; the candidates of the leaves that a block must
+see are dealt to LANES lanes and pass by it in small parts, the leaves of the largest possible scores first.  The block
+keeps its best k so far, and each query skips the parts whose leaves can't reach its k-th score any more.  So a block and
+lane give k rows for each query, however many candidates there are.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ from pyspark.sql import functions as F
 from quarry.plans.cut import cut
 
 SCALE, K, EVERY = 64, 20, 20
-#: Rows of the sample, rows for each leaf, most leaves, and rows in a block of queries and of candidates.
-SAMPLE, PER_LEAF, MAX_LEAVES, QUERY_BLOCK, DATA_BLOCK = 2048, 2048, 256, 1024, 2048
+#: Rows of the sample, rows for each leaf, most leaves, queries in a block, lanes for each block, and candidates at a time.
+SAMPLE, PER_LEAF, MAX_LEAVES, QUERY_BLOCK, LANES, PART = 2048, 1024, 256, 4096, 8, 512
 LEVELS = 24
+#: Scaled components beyond this take a vector out of the search, as scores must fit a long.
+LARGEST = 1 << 28
 
 
 @dataclass
@@ -109,24 +115,67 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T).astype(np.int64) if most < 2.0**53 else a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def best(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's k highest scores that are not under least; of equal ones the first columns."""
-    n = scores.shape[1]
-    if n <= k:
-        col = np.broadcast_to(np.arange(n), scores.shape)
-    elif np.abs(scores).max(initial=0) < (1 << 62) // n:
-        col = np.argpartition(scores * n + (n - 1 - np.arange(n)), n - k, axis=1)[:, n - k :]
-    else:
-        col = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    row = np.broadcast_to(np.arange(len(scores))[:, None], col.shape)
-    ok = np.take_along_axis(scores, col, 1) >= least[:, None]
-    return row[ok], col[ok]
+class Best:
+    """The best k candidates so far of a block of queries; of equal scores those of smaller ids."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int):
+        self.ids, self.queries, self.worst, self.k = ids, queries, least.copy(), k
+        self.norm = np.linalg.norm(queries, axis=1)
+        self.found = np.zeros((3, 0), np.int64)  # row, score, id
+
+    def see(self, ids: np.ndarray, data: np.ndarray, centre: np.ndarray, radius: float) -> None:
+        """Candidates that lie within radius of centre."""
+        most = self.queries @ centre + self.norm * radius
+        at = np.flatnonzero(most + 1e-9 * np.abs(most) + 1e-6 >= self.worst)
+        if not len(at):
+            return
+        s = exact(self.queries[at], data)
+        row, col = np.nonzero((s >= self.worst[at][:, None]) & (self.ids[at][:, None] != ids[None]))
+        if len(row):
+            self.found = np.hstack([self.found, np.stack([at[row], s[row, col], ids[col]])])
+            self.settle()
+
+    def settle(self) -> None:
+        """Keeps k for each query and raises what a candidate must reach."""
+        row, score, ids = self.found[:, np.lexsort((self.found[2], -self.found[1], self.found[0]))]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        last = place == self.k - 1
+        self.worst[row[last]] = np.maximum(self.worst[row[last]], score[last])
+        self.found = np.stack([row, score, ids])[:, place < self.k]
+
+
+def packed_blocks(queries: np.ndarray, block: int = QUERY_BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each leaf's queries and how many blocks they fill; small leaves, in order, share a block."""
+    first, blocks, filled, at = np.zeros(len(queries), int), np.ones(len(queries), int), 0, 0
+    for i, n in enumerate(queries):
+        if filled + n > block and filled:
+            at, filled = at + 1, 0
+        first[i], blocks[i] = at, max(1, -(-n // block))
+        if blocks[i] > 1:
+            at = at + blocks[i]
+        else:
+            filled += n
+    return first, blocks
+
+
+def block_spans(leaves: np.ndarray, first: np.ndarray, blocks: np.ndarray) -> list[tuple[int, int]]:
+    """The blocks, as few spans (first and last), that hold queries of these leaves."""
+    spans: list[tuple[int, int]] = []
+    for i in np.flatnonzero(leaves):
+        a, b = int(first[i]), int(first[i] + blocks[i] - 1)
+        if spans and a <= spans[-1][1] + 1:
+            spans[-1] = spans[-1][0], max(b, spans[-1][1])
+        else:
+            spans.append((a, b))
+    return spans
 
 
 def integers(embedding: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component as array<bigint>; null if the vector is null or has a null or non-finite component."""
+    """floor(scale * x) of each component as array<bigint>; null if the vector is null or has a component that is null,
+    non-finite or beyond LARGEST when scaled."""
     x = F.transform(embedding, lambda x: x.cast("double"))
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) * scale < float(LARGEST)))
     return F.when(fine, F.transform(x, lambda v: F.floor(v * scale).cast("bigint")))
 
 
@@ -138,8 +187,8 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors (vec_id, embedding) whose id `every` divides its k best rows.
 
-    Ties go to the smaller vec_id.  Vectors that are null or hold null or non-finite components, and rows with a null
-    id, take no part.  A row's own is every row with its id, so repeats of a query row don't find each other, and a query
+    Ties go to the smaller vec_id.  Vectors that are null or hold null or non-finite components, or one of LARGEST or more
+    when scaled (a sum of such products needn't fit a long), and rows with a null id, take no part.  A row's own is every row with its id, so repeats of a query row don't find each other, and a query
     id that is repeated is asked once for each row, ranked together as one (the least k of their results); vectors of
     different lengths meet in their common components; an empty vector scores zero; an empty table gives an empty result.
     """
@@ -180,49 +229,60 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
 
     d = cut(v.mapInArrow(settle, "vec_id bigint, packed binary, leaf int, far double, asks boolean, least double"))
     m = len(tree.centres)
-    count, queries, radius, q_radius, worst = np.zeros(m, int), np.zeros(m, int), np.full(m, -1.0), np.full(m, -1.0), np.full(m, np.inf)
+    queries, radius, q_radius, worst = np.zeros(m, int), np.full(m, -1.0), np.full(m, -1.0), np.full(m, np.inf)
     asked = lambda c: F.when(F.col("asks"), F.col(c))
-    for r in d.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max("far").alias("far"), F.max(asked("far")).alias("q_far"), F.min(asked("least")).alias("worst")).collect():
-        count[r.leaf], radius[r.leaf], queries[r.leaf] = r.n, r.far, r.q
+    for r in d.groupBy("leaf").agg(F.count_if("asks").alias("q"), F.max("far").alias("far"), F.max(asked("far")).alias("q_far"), F.min(asked("least")).alias("worst")).collect():
+        radius[r.leaf], queries[r.leaf] = r.far, r.q
         if r.q:
             q_radius[r.leaf], worst[r.leaf] = r.q_far, r.worst
     alive = surviving(tree, q_radius, worst, radius)
-    # queries of small leaves share a block: leaves are packed in the tree's order
-    first, blocks, filled, at = np.zeros(m, int), np.ones(m, int), 0, 0
-    for i in range(m):
-        if queries[i] > QUERY_BLOCK or filled + queries[i] > QUERY_BLOCK:
-            at, filled = at + (filled > 0), 0
-        first[i], blocks[i] = at, max(1, -(-queries[i] // QUERY_BLOCK))
-        if blocks[i] > 1:
-            at, filled = at + blocks[i], 0
-        else:
-            filled += queries[i]
+    first, blocks = packed_blocks(queries)
+    # the leaves of long vectors and wide radii come first
+    order = np.empty(m, int)
+    order[np.argsort(-(np.linalg.norm(tree.centres, axis=1) + radius), kind="stable")] = np.arange(m)
     listed = lambda xs: F.array(*(F.lit(int(x)) for x in xs))
-    leaf_at = F.col("leaf")
-    q = d.where("asks").withColumn("q_block", F.get(listed(first), leaf_at) + F.pmod(F.xxhash64("vec_id"), F.get(listed(blocks), leaf_at)))
-    salts = np.maximum(1, -(-count // DATA_BLOCK))
-    c = d.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.get(listed(salts), leaf_at)))
-    # a query goes to all blocks of the leaves that survived with its own; their rows go to the blocks of such queries
-    lists = F.array(*(listed(np.flatnonzero(alive[i])).cast("array<int>") for i in range(m)))
-    q = q.select(F.col("vec_id").alias("query_id"), "packed", "least", "q_block", F.explode_outer(F.get(lists, leaf_at)).alias("d_leaf")).where("d_leaf is not null")
-    c = c.join(q.select("q_block", F.col("d_leaf").alias("leaf")).distinct(), "leaf")
-    c = c.select("vec_id", F.col("packed").alias("data"), F.col("q_block").alias("block"), F.col("leaf").alias("d_leaf"), F.col("salt").alias("d_salt"))
-    q = q.select("query_id", "packed", "least", F.col("d_leaf").alias("leaf"), F.explode_outer(F.sequence(F.lit(0), F.get(listed(salts), F.col("d_leaf")) - 1)).alias("salt"), "q_block")
-    q = q.withColumn("salt", F.col("salt").cast("bigint"))
-
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            right = right.sort_by("vec_id")
-            ids, own = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
-            s = exact(_matrix(left["packed"], width), _matrix(right["data"], width))
-            mine = own[:, None] == ids[None]
-            s[mine] = -(1 << 61) // len(ids)
-            i, j = best(s, left["least"].to_numpy(), k)
-            fine = ~mine[i, j]
-            out = [own[i[fine]], ids[j[fine]], s[i[fine], j[fine]]]
-        return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-
-    found = q.groupBy("q_block", "leaf", "salt").cogroup(c.groupBy("block", "d_leaf", "d_salt")).applyInArrow(block, "query_id bigint, vec_id bigint, score bigint")
+    leaf_at, lane = F.col("leaf"), F.pmod(F.xxhash64("vec_id", "packed"), F.lit(LANES)).cast("int")
+    q_block = F.get(listed(first), leaf_at) + F.pmod(F.xxhash64("vec_id"), F.get(listed(blocks), leaf_at)).cast("int")
+    q = d.where("asks").select(q_block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.lit(-1).alias("order"), "leaf", "vec_id", "packed", "least")
+    # a candidate passes by the blocks that hold queries of the leaves that survived with its own
+    spans = F.array(*(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in block_spans(alive[:, j] & (queries > 0), first, blocks))).cast("array<struct<a:int,b:int>>") for j in range(m)))
+    c = d.select("leaf", "vec_id", "packed", "least", lane.alias("lane"), F.get(listed(order), leaf_at).alias("order"), F.explode(F.get(spans, leaf_at)).alias("span"))
+    c = c.select(F.explode(F.sequence("span.a", "span.b")).alias("block"), "lane", "order", "leaf", "vec_id", "packed", "least")
+    n_blocks = int((first + blocks).max()) if queries.any() else 1
+    tasks = min(n_blocks * LANES, max(2 * LANES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    stream = q.unionAll(c).repartition(tasks, "block", "lane").sortWithinPartitions("block", "lane", "order", "leaf", "vec_id")
+    nodes = spark.sparkContext.broadcast((tree.centres, radius))
+
+    def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, radii = nodes.value
+        now: tuple[int, int] | None = None
+        asking: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: Best | None = None
+
+        def rows() -> pa.RecordBatch:
+            row, score, ids = held.found if held is not None else np.zeros((3, 0), np.int64)
+            own = held.ids[row] if held is not None else row
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            block, lanes, kind, leaf, ids, _, least = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            data = _matrix(batch.column("packed"), width)
+            # parts of one block, lane and leaf, of a bounded number of rows
+            new = (block[1:] != block[:-1]) | (lanes[1:] != lanes[:-1]) | (kind[1:] != kind[:-1]) | (leaf[1:] != leaf[:-1])
+            edges = np.r_[0, np.flatnonzero(new) + 1, len(ids)]
+            for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if (block[start], lanes[start]) != now:
+                    yield rows()
+                    now, asking, held = (block[start], lanes[start]), [], None
+                if kind[start] < 0:
+                    asking.append((ids[start:stop], data[start:stop], least[start:stop]))
+                    continue
+                if held is None:
+                    held = Best(*(np.concatenate(x) for x in zip(*asking, strict=True)), k)
+                for at in range(start, stop, PART):
+                    held.see(ids[at : min(at + PART, stop)], data[at : min(at + PART, stop)], centres[leaf[start]], radii[leaf[start]])
+        yield rows()
+
+    found = stream.mapInArrow(pass_by, "query_id bigint, vec_id bigint, score bigint")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
