@@ -23,15 +23,17 @@ COMMON_WORDS = (
     "el y los se del las por con no una su para es al lo como más pero sus o"
 ).split()
 WORDS = tuple(dict.fromkeys(COMMON_WORDS))
-#: Classes of bytes: white space, capitals, digits, punctuation, symbols, continuation bytes of UTF-8, the rest.
-CLASSES = (r"[^ \t-\r]+", r"[^A-Z]+", r"[^0-9]+", r"""[^.,;:!?'"()\-]+""", r"[^#*$%&|<>]+")
+#: What isn't of a class, by class: white space, capitals, digits, punctuation, symbols, Greek and Cyrillic, other letters up to
+#: U+1FFF, ideographs and all beyond U+2E80.  Two more classes are continuation bytes of UTF-8 and the rest.
+CLASSES = (r"[^ \t-\r]+", r"[^A-Z]+", r"[^0-9]+", r"""[^.,;:!?'"()\-]+""", r"[^#*$%&|<>]+", r"[^\u0370-\u052F]+", r"[^\u0530-\u1FFF]+", r"[^\u2E80-\x{10FFFF}]+")
+SYMBOLS = 4
 WINDOW = 8
 
 
 def histograms(docs: DataFrame) -> DataFrame:
     """Adds words, n_words, classes (counts of bytes by class) and commons (counts of WORDS, then of other words)."""
     text = F.col("__text")
-    counts = [F.octet_length(F.regexp_replace(text, c, "")) for c in CLASSES]
+    counts = [F.char_length(F.regexp_replace(text, c, "")) for c in CLASSES]
     d = docs.withColumn("__text", whole(F.col("text")))
     d = d.withColumn("words", split_words(text)).withColumn("n_words", F.size("words").cast("long"))
     d = d.withColumn("marks", F.array(*counts, F.octet_length(text) - F.char_length(text)).cast("array<bigint>"))
@@ -48,7 +50,7 @@ def base_counts(d: DataFrame) -> DataFrame:
     """Adds the base columns to what histograms() gave; drops its words."""
     text, n = F.col("__text"), F.size("words")
     d = d.withColumn("word_chars", F.char_length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"))
-    d = d.withColumn("n_symbols", F.element_at("marks", len(CLASSES)))
+    d = d.withColumn("n_symbols", F.element_at("marks", SYMBOLS + 1))
     d = d.withColumn("lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     d = d.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
@@ -91,7 +93,7 @@ def _js_distance(d: DataFrame, name: str, p: str, q: str) -> DataFrame:
 def references(d: DataFrame) -> DataFrame:
     """(__lang, class_ref, common_ref): the summed histograms of all documents of each language; null is one of them."""
     sums = [F.sum(F.get(h, F.lit(i))).alias(f"{h}{i}") for h, n in (("classes", len(CLASSES) + 2), ("commons", len(WORDS) + 1)) for i in range(n)]
-    ref = d.groupBy(F.coalesce("lang", F.lit("")).alias("__lang")).agg(*sums)
+    ref = d.groupBy(F.col("lang").alias("__lang")).agg(*sums)
     pick = lambda h, n: F.array(*(F.col(f"{h}{i}") for i in range(n)))
     return ref.select("__lang", pick("classes", len(CLASSES) + 2).alias("class_ref"), pick("commons", len(WORDS) + 1).alias("common_ref"))
 
@@ -110,7 +112,7 @@ def judge(d: DataFrame, refs: DataFrame) -> DataFrame:
     refs = with_common_share(cut(refs))
     # a row for each language: sent to all tasks if there are as few as that, else joined as any table
     refs = F.broadcast(refs) if refs.count() <= MANY_LANGUAGES else refs
-    d = d.withColumn("__lang", F.coalesce("lang", F.lit(""))).join(refs, "__lang", "left")
+    d = d.join(refs, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     size = F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
     d = _js_distance(d, "class_distance", "classes", "class_ref")
     d = _js_distance(d, "word_distance", "commons", "common_ref")

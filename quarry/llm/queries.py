@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -72,6 +73,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
 
+def _op1() -> str:
+    q = quality_rules
+    wide = lambda c: re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", c).replace("'", "''")
+    marks = ", ".join(f"length(regexp_replace(text, '{wide(c)}', '', 'g'))" for c in q.CLASSES)
+    commons = ", ".join(f"'{w}'" for w in q.WORDS)
+    half = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((p + q) / 2)) ELSE 0 END"
+    distance = f"sqrt(greatest(sum({half('p')} + {half('q')}) / 2, 0))"
+    window = f"list_slice(words, i, i + {q.WINDOW - 1})"
+    return f"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents
+), c AS (
+  SELECT *, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars, [{marks}, strlen(text) - length(text)]::BIGINT[] AS marks,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines, list_filter(words, lambda w: list_contains([{commons}], w)) AS known FROM d
+), w AS (
+  SELECT r, i, {window} AS w FROM c, unnest(range(1, greatest(1, n_words - {q.WINDOW - 2}))) AS u(i) WHERE n_words > {q.WINDOW}
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM w) WHERE n > 1
+), covered AS (
+  SELECT r, sum(step)::BIGINT AS n FROM (SELECT r, least({q.WINDOW}, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, {q.WINDOW})) AS step FROM again) GROUP BY r
+), b AS (
+  SELECT c.*, marks[{q.SYMBOLS + 1}] AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+    list_append(marks, (strlen(text) - list_sum(marks))::BIGINT) AS classes,
+    list_append(list_transform([{commons}], lambda v: len(list_filter(known, lambda w: w = v))), n_words - len(known)) AS commons FROM c LEFT JOIN covered USING (r)
+), h AS (
+  SELECT r, lang, kind, i, hist[i] AS c, list_sum(hist) AS total, i = len(hist) AS last
+  FROM (SELECT r, lang, 'class' AS kind, classes AS hist FROM b UNION ALL SELECT r, lang, 'word', commons FROM b), unnest(range(1, len(hist) + 1)) AS u(i)
+), ref AS (
+  SELECT lang, kind, i, last, sum(c) AS c, sum(sum(c)) OVER (PARTITION BY lang, kind) AS total FROM h GROUP BY lang, kind, i, last
+), js AS (
+  SELECT r, kind, {distance} AS far FROM (
+    SELECT h.r, h.kind, h.c / h.total AS p, ref.c / ref.total AS q FROM h JOIN ref ON h.lang IS NOT DISTINCT FROM ref.lang AND h.kind = ref.kind AND h.i = ref.i WHERE h.total > 0) GROUP BY r, kind
+), share AS (
+  SELECT lang, 1 - rest AS share, sqrt(greatest((log2(2 / (1 + rest)) + (1 - rest) + CASE WHEN rest > 0 THEN rest * log2(2 * rest / (1 + rest)) ELSE 0 END) / 2, 0)) AS bare
+  FROM (SELECT lang, c / total AS rest FROM ref WHERE kind = 'word' AND last AND total > 0)
+), k AS (
+  SELECT b.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, strlen(text) >= {q.MIN_BYTES} AND coalesce(jc.far, 0) > {q.MAX_CLASS_DISTANCE} AS class_far,
+    n_words >= {q.MIN_WORDS} AND coalesce(jw.far, 0) > least({q.MAX_WORD_DISTANCE}, CASE WHEN n_words * share >= {q.MIN_EXPECTED} THEN {q.NO_COMMON} * bare END) AS word_far
+  FROM b LEFT JOIN js jc ON jc.r = b.r AND jc.kind = 'class' LEFT JOIN js jw ON jw.r = b.r AND jw.kind = 'word' LEFT JOIN share ON share.lang IS NOT DISTINCT FROM b.lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT class_far AND NOT word_far AS kept FROM k
+"""
+
+
 _OP2 = f"""
 WITH RECURSIVE p AS (
   SELECT page_id, html, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
@@ -201,4 +246,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _OP2, "op3_entropy_mixing": _op3(), "op8_line_dedup": _OP8, "op9_topk_search": _OP9}
+    return {"op1_quality_rules": _op1(), "op2_url_filters": _OP2, "op3_entropy_mixing": _op3(), "op8_line_dedup": _OP8, "op9_topk_search": _OP9}

@@ -38,7 +38,8 @@ def quality(docs):
         text = d["text"] or ""
         words, raw = WORD.findall(text), text.encode()
         count = lambda s: sum(map(text.count, s))  # noqa: E731,B023
-        classes = [count(WS), sum("A" <= c <= "Z" for c in text), sum("0" <= c <= "9" for c in text), count(".,;:!?'\"()-"), count("#*$%&|<>"), len(raw) - len(text)]
+        classes = [count(WS), sum("A" <= c <= "Z" for c in text), sum("0" <= c <= "9" for c in text), count(".,;:!?'\"()-"), count("#*$%&|<>")]
+        classes += [sum(low <= c <= high for c in text) for low, high in (("\u0370", "\u052f"), ("\u0530", "\u1fff"), ("\u2e80", "\U0010ffff"))] + [len(raw) - len(text)]
         classes.append(len(raw) - sum(classes))
         commons = [words.count(w) for w in quality_rules.WORDS]
         commons.append(len(words) - sum(commons))
@@ -48,8 +49,8 @@ def quality(docs):
         lines = [x for x in text.split("\n") if x.strip(WS)]
         failed = len(words) < 20 or len(covered) * 100 > len(words) * 30
         row = {"doc_id": d["doc_id"], "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": classes[4], "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "base_failed": failed}
-        out.append((row, d["lang"] or "", classes, commons, len(raw)))
-        for ref, h in zip(refs[d["lang"] or ""], (classes, commons), strict=True):
+        out.append((row, d["lang"], classes, commons, len(raw)))
+        for ref, h in zip(refs[d["lang"]], (classes, commons), strict=True):
             ref.update(dict(enumerate(h)))
     for row, lang, classes, commons, size in out:
         c, w = ([ref[i] for i in range(len(h))] for ref, h in zip(refs[lang], (classes, commons), strict=True))
@@ -102,6 +103,29 @@ def docs(sf_dir):
     return [dict(zip(("doc_id", "lang", "source", "text"), r, strict=True)) for r in d]
 
 
+def test_quality_of_generated_texts(spark):
+    """Languages null and empty apart, other scripts, repeated windows and lines, guards, repeated rows."""
+    rng = random.Random(21)
+    alphabets = {"en": "abcdefgh", "ru": "абвгдежз", "ja": "日本語文字列", "": "xyz", None: "klmn"}
+    docs = []
+    for i in range(400):
+        lang = rng.choice(list(alphabets))
+        letters = alphabets[lang if rng.random() < 0.9 else "ja"]
+        words = [rng.choice(["the", "of", "and"]) if lang == "en" and rng.random() < 0.2 else "".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(rng.choice([0, 1, 8, 9, 19, 20, 49, 50, 150]))]
+        if rng.random() < 0.3 and words:
+            at = rng.randrange(len(words))
+            words += words[at : at + rng.choice([7, 8, 9, 20])] * rng.randint(1, 4)
+        text = "".join(w + rng.choice([" "] * 40 + ["\n", "\t\x0b", " #$| ", ", "]) for w in words)
+        docs.append({"doc_id": rng.choice([i, i // 3, None]), "lang": lang, "text": text if rng.random() < 0.95 else None})
+    docs += docs[:20]
+    d = spark.createDataFrame([(x["doc_id"], x["lang"], x["text"], 5) for x in docs], "doc_id long, lang string, text string, n_words int")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    got = Counter(tuple(r[c] for c in names) for r in quality_rules.quality(d).collect())
+    want = quality(docs)
+    assert got == Counter(tuple(r[c] for c in names) for r in want)
+    assert sum(r["n_repeat_words"] > 0 for r in want) > 40 and 5 < sum(not r["kept"] and not r["base_failed"] for r in want) < 300
+
+
 def test_quality_rules(spark, sf_dir, docs):
     got = {r.doc_id: r.asDict() for r in queries.op1_quality_rules(spark, sf_dir).collect()}
     assert got == {r["doc_id"]: r for r in quality(docs)}
