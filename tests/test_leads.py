@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,36 @@ def test_ingest_resumes(spark, tmp_path):
     ingest.ingest(spark, folder, out, state, 1)
     nodes, edges = ingest.ingested(spark, out)
     assert sorted(r.id for r in nodes.collect()) == [10, 20, 30] and edges.count() == 3
+
+
+def test_layout_keeps_pairs_together():
+    rng = random.Random(6)
+    for _ in range(300):
+        batch = rng.choice([1, 2, 3, 4])
+        units = [{"v": f"v{i}" if rng.random() < 0.9 else None, "p": None, "n": f"n{i}" if rng.random() < 0.4 else None} for i in range(rng.randint(0, 12))]
+        for i, u in enumerate(units):
+            if u["v"] and rng.random() < 0.6:
+                u["p"] = f"p{i}"
+        rows, dropped = balance.layout(units, batch)
+        at = {r: i for i, r in enumerate(rows)}
+        given = [u[k] for u in units for k in "vpn" if u[k]]
+        assert len(at) == len(rows) == len(given) - dropped and set(rows) <= set(given)
+        assert all(r.startswith("p") for r in set(given) - set(rows))
+        for u in units:
+            if u["p"] in at:
+                assert at[u["p"]] == at[u["v"]] + 1 and (batch == 1 or at[u["p"]] // batch == at[u["v"]] // batch)
+
+
+def test_fill_keeps_its_caps(spark):
+    rng = random.Random(7)
+    units = [(i, f"u{i}", rng.choice(["small", "py", "js", "go"]), rng.randint(1, 3), f"r{rng.randrange(9)}", f"c{rng.randrange(6)}", rng.choice(["f", "g", None]), rng.choice(["py", "js", "go"])) for i in range(120)]
+    d = spark.createDataFrame(units, "seq long, unit string, queue string, size long, repo string, cwe string, family string, language string")
+    got = balance.fill(d, 60, "py", {"repo": 0.2, "cwe": 0.3, "family": 0.4}, ("g",)).orderBy("place").collect()
+    by = {u[1]: u for u in units}
+    rows = sum(r["rows"] for r in got)
+    assert 40 <= rows <= 60
+    for at, share in ((4, 0.2), (5, 0.3), (6, 0.4)):
+        counts = Counter(by[r.unit][at] for r in got)
+        assert all(n <= max(1, int(share * 60)) for v, n in counts.items() if v not in (None, "g"))
+    queues = [by[r.unit][2] for r in got]
+    assert queues == sorted(queues, key=lambda q: ["small", "py"].index(q) if q in ("small", "py") else 2)
