@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import code
 from quarry.operators import balance, curation, detect, evaluation, leads, matching, paths, search
 from quarry.plans import store
-from quarry.plans.catalog import TERMS, query, table
+from quarry.plans.catalog import _BM25, _KNN, TERMS, query, table
 
 
 @query("""
@@ -43,7 +43,7 @@ def jo16_allow_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT o_orderkey, o_orderpriority AS repo, sha1(o_orderkey::VARCHAR) AS sha FROM orders), a AS (SELECT o_orderkey % 997 AS k, repo, substr(sha, 1, 7 + (o_orderkey % 5)::INT) AS short FROM s WHERE o_orderkey % 50 = 1)
+WITH s AS (SELECT o_orderkey, o_orderpriority AS repo, sha1(o_orderkey::VARCHAR) AS sha FROM orders), a AS (SELECT repo, substr(sha, 1, 7 + (o_orderkey % 5)::INT) AS short FROM s)
 SELECT s.o_orderkey, a.short FROM a JOIN s ON s.repo = a.repo AND starts_with(s.sha, a.short)
 """)
 def jo18_sha_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,9 +303,11 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(shared, "p", "left").select("p", "n", F.coalesce("s", F.lit(False)).alias("shared"))
 
 
-@query("""
-WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings WHERE vec_id % 7 = 0), k AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC) AS rank FROM embeddings WHERE vec_id % 5 = 0)
-SELECT coalesce(v.vec_id, k.vec_id) AS vec_id, round(coalesce(1 / (60 + v.rank), 0) + coalesce(1 / (60 + k.rank), 0), 6) AS score, CASE WHEN k.vec_id IS NULL THEN 'vector' WHEN v.vec_id IS NULL THEN 'keyword' ELSE 'both' END AS matched FROM v FULL JOIN k ON v.vec_id = k.vec_id
+@query(f"""
+{_KNN.rstrip()}, b AS ({_BM25}), k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b),
+ v AS (SELECT query_id, vec_id, rank FROM r WHERE rank <= 20), w AS (SELECT query_id, doc_id AS vec_id, rank FROM q, k WHERE rank <= 20)
+SELECT coalesce(v.query_id, w.query_id) AS query_id, coalesce(v.vec_id, w.vec_id) AS vec_id, round(coalesce(1 / (60 + v.rank), 0) + coalesce(1 / (60 + w.rank), 0), 6) AS score,
+ CASE WHEN w.rank IS NULL THEN 'vector' WHEN v.rank IS NULL THEN 'keyword' ELSE 'both' END AS matched FROM v FULL JOIN w ON v.query_id = w.query_id AND v.vec_id = w.vec_id
 """)
 def sea06_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches by a vector and by terms over all vectors and texts, fused, with where each hit comes from.

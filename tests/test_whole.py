@@ -16,7 +16,7 @@ WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_i
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
 """
 
-#: The registered SQL of these queries still has the filters that the queries had; this is the same SQL without them.
+#: The SQL of these queries, written out: no modulo filter and no id prefix but the query sets.
 WHOLE = {
     "g16_components": """
 WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_orderkey + 1 AS b FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1),
