@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.cut import cut
-from quarry.plans.skew import lookup
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -14,8 +13,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Each round hooks every node to its smallest neighbour, jumps pointers to the roots and contracts the edges, so that
     the edge list shrinks at every round and a star or a chain needs few of them.  Minima are taken with partial
-    aggregation; no neighbourhood is ever gathered, and a root or node that very many rows point to is looked up in many
-    tasks.  Nodes without an edge to another node don't appear: self loops and
+    aggregation; no neighbourhood is ever gathered.  The joins on a root that very many nodes point to are left to the
+    adaptive split of skewed join partitions.  Nodes without an edge to another node don't appear: self loops and
     rows with a null end are ignored, repeated edges count once, an empty edge list gives an empty result.
     """
     a, b = F.col("a"), F.col("b")
@@ -28,7 +27,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         parent = hook
         while True:  # the way to the root halves each time
             onward = parent.select(F.col("n").alias("p"), F.col("p").alias("root"))
-            parent = cut(lookup(parent, onward, "p").select("n", F.col("root").alias("p"), (F.col("p") != F.col("root")).alias("moved")))
+            parent = cut(parent.join(onward, "p").select("n", F.col("root").alias("p"), (F.col("p") != F.col("root")).alias("moved")))
             if parent.where("moved").isEmpty():
                 break
             parent = parent.select("n", "p")
@@ -36,8 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             labels = parent.select(F.col("n").alias("node"), F.col("p").alias("component"))
         else:
             step = parent.select(F.col("n").alias("component"), "p")
-            labels = cut(lookup(labels, step, "component").select("node", F.coalesce("p", "component").alias("component")))
+            labels = cut(labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
         to_a, to_b = (parent.select(F.col("n").alias(k), F.col("p").alias(f"p{k}")) for k in "ab")
-        moved = lookup(cut(lookup(e, to_a, "a")), to_b, "b").where(F.col("pa") != F.col("pb"))
+        moved = e.join(to_a, "a").join(to_b, "b").where(F.col("pa") != F.col("pb"))
         e = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     return e.select(a.alias("node"), b.alias("component")) if labels is None else labels

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is heavy if it holds more than one part in PARTS of the rows, so that there are fewer heavy keys than PARTS.
-PARTS = 1000
+#: A key is heavy if it holds more than one part in PARTS of the rows, so that there are fewer heavy keys than PARTS, and
+#: more rows than any task has use for to be spared.
+PARTS, FEW = 1000, 512
 
 
 def heavy(rows: Column, total: int) -> Column:
     """Whether a key of so many rows is one of the heavy ones among total rows."""
-    return rows * PARTS > total
+    return (rows * PARTS > total) & (rows > FEW)
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, is_heavy: Column) -> DataFrame:
@@ -31,15 +32,3 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, is_heavy: Column) -
     d = d.join(rest.withColumn("__minus", F.lit(-1)), (F.col("__j").eqNullSafe(F.col("__k"))) & (F.col("__at") == F.col("__minus")), "left")
     found = F.coalesce("__few", "__rest")
     return d.select(*(left[c] for c in left.columns), *(found[c].alias(c) for c in names))
-
-
-def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """spread_join with the heavy keys of left counted first; left should be a table that is cheap to read again."""
-    counts = left.groupBy(key).agg(F.count("*").alias("__n"))
-    seen = counts.agg(F.max("__n").alias("most"), F.sum("__n").alias("total")).first()
-    if not seen.total or seen.most * PARTS <= seen.total:
-        names = [c for c in right.columns if c != key]
-        return left.join(right.select(F.col(key).alias("__k"), *names), F.col(key) == F.col("__k"), "left").select(*left.columns, *names)
-    few = counts.where(heavy(F.col("__n"), seen.total)).select(F.col(key).alias("__c"), "__n")
-    right = right.join(F.broadcast(few), F.col(key) == F.col("__c"), "left").drop("__c")
-    return spread_join(left, right, key, F.col("__n").isNotNull()).drop("__n")
