@@ -197,7 +197,7 @@ WITH RECURSIVE d AS (
     ELSE n * floor(least({most * unit}::DOUBLE, rate * coalesce(round(greatest(0, rest / nullif(light, 0)), 9), 0)) + 0.5::DOUBLE)::HUGEINT END AS own2
   FROM (SELECT *, target - {words("first_copies")} AS rest, {words("CASE WHEN NOT heavy THEN rate * n END")} / {unit} AS light FROM b WINDOW w AS (PARTITION BY source))
 ), e AS {_rounded("own2", "rest", "rest_copies", "c")}, classes AS (
-  SELECT source, size, n, source_size, target, coalesce(first_copies, rest_copies)::HUGEINT AS copies, CASE WHEN n * {skew.PARTS} > sum(n) OVER () THEN ceil(n / {mixing.BUCKET}::DOUBLE)::BIGINT ELSE 1 END AS parts FROM e
+  SELECT source, size, n, source_size, target, coalesce(first_copies, rest_copies)::HUGEINT AS copies, CASE WHEN n * {skew.PARTS} > sum(n) OVER () AND n > {skew.FEW} THEN ceil(n / {mixing.BUCKET}::DOUBLE)::BIGINT ELSE 1 END AS parts FROM e
 ), k AS (
   SELECT kinds.*, n, source_size, target, copies, md5(coalesce(doc_id::VARCHAR, '') || ' ' || digest) AS pos,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || digest), 1, 8))::BIGINT % parts AS part

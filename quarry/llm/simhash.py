@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quarry.llm.line_dedup import texts_of
 from quarry.operators.components import connected_components
 from quarry.plans.cut import cut
-from quarry.plans.skew import heavy, lookup, spread_join
+from quarry.plans.skew import heavy, spread_join
 
 SHINGLE, SEED, MAX_BITS, BYTES = 3, 42, 3, 8
 MIN_SHARED = BYTES - MAX_BITS
@@ -179,7 +179,7 @@ def _components(f: DataFrame, max_bits: int) -> DataFrame:
     comp = connected_components(links(classes.select("fp"), max_bits)).select(F.col("node").alias("fp"), "component")
     of = cut(classes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     least = of.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("least"))
-    of = lookup(of.select("fp", "n", "component"), least, "component")
+    of = of.select("fp", "n", "component").join(least, "component")
     return of.select("fp", "n", F.col("least.first").alias("component_id"), (F.col("fp") == F.col("least.fp")).alias("chosen"))
 
 
