@@ -269,7 +269,7 @@ def strm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT l_partkey AS caller, count(DISTINCT l_suppkey) AS n_callees, min(l_suppkey) AS first_callee, count(*) AS n_calls FROM lineitem GROUP BY 1
 """)
-def g13_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg01_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each node calls: distinct targets, the smallest, and all calls."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     return l.groupBy(F.col("l_partkey").alias("caller")).agg(F.countDistinct("l_suppkey").alias("n_callees"), F.min("l_suppkey").alias("first_callee"), F.count("*").alias("n_calls"))
@@ -286,16 +286,6 @@ def g17_novel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges("R").join(edges("N"), ["l_partkey", "l_suppkey"], "left_anti")
 
 
-@query("""
-SELECT p_type, p_partkey, rank FROM (SELECT p_type, p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_size, p_partkey) - 1 AS rank FROM part) WHERE rank < 300
-""")
-def g09_rank_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 300 candidates that rank first, numbered from 0; the limit is taken before the numbering."""
-    top = table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_size", "p_partkey").limit(300)
-    by = Window.orderBy(F.desc("p_retailprice"), "p_size", "p_partkey")
-    return top.select("p_type", "p_partkey", (F.row_number().over(by) - 1).cast("bigint").alias("rank"))
-
-
 @query("""
 WITH l AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i, l_partkey, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS confidence, l_orderkey, l_linenumber FROM lineitem),
  r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY confidence DESC, l_orderkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_partkey) AS n FROM l)
@@ -353,7 +343,7 @@ def str_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH b AS (SELECT item_id, lower(trim(text)) AS t FROM benchmark)
 SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item FROM documents JOIN b ON contains(lower(text), t) GROUP BY doc_id
 """)
-def cur02_leakset(spark: SparkSession, sf_dir: str) -> DataFrame:
+def txt_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage: joined by the passage's first words' hashes, then verified.
 
     Passages of three to six words are joined by as many inner words as they have; those of one or two words, which have

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import code
-from quarry.operators import balance, curation, detect, evaluation, leads, matching, paths, search
+from quarry.operators import balance, curation, evaluation, leads, matching, paths, search
 from quarry.plans import store
 from quarry.plans.catalog import _BM25, _KNN, TERMS, query, table
 
@@ -25,7 +25,7 @@ def jo06_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity BETWEEN 10 AND 40)
 """)
-def jo08_overlap_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jo16_anti_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders without a line inside a range of quantities."""
     l = table(spark, sf_dir, "lineitem").where(F.col("l_quantity").between(10, 40)).select(F.col("l_orderkey").alias("o_orderkey"))  # noqa: E741
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(l, "o_orderkey", "left_anti")
@@ -132,7 +132,7 @@ def snk05_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT event_id, user_id, sum((event_id % 7) - 3) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS shift FROM events
 """)
-def g12_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+def win10_prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the changes before each one of the same file add up to."""
     by = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.sum(F.col("event_id") % 7 - 3).over(by).alias("shift"))
@@ -270,27 +270,6 @@ def cur14_drop_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.drop_conflicts(d).select("seq", "split", "label")
 
 
-@query("""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) AS lineno FROM d)
-SELECT doc_id, lineno::BIGINT AS lineno, substr(text, 1, 500) AS text FROM l WHERE lineno BETWEEN 3 AND 11
-""")
-def qry08_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines 3 to 11 of each text, cut at 500 characters."""
-    l = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n", -1), 3, 9)).alias("at", "text"))  # noqa: E741
-    return l.select("doc_id", (F.col("at") + 3).cast("bigint").alias("lineno"), F.substring("text", 1, 500).alias("text"))
-
-
-@query("""
-WITH r AS (SELECT o_custkey, o_orderkey, length(o_orderpriority || o_orderstatus) AS s, row_number() OVER w AS n, sum(length(o_orderpriority || o_orderstatus)) OVER w AS upto FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_custkey, o_orderkey FROM r WHERE n = 1 OR upto <= 40
-""")
-def rnk06_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rows of each group that fit a number of characters, one at least."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    size = F.length(F.concat("o_orderpriority", "o_orderstatus"))
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("n"), F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    return o.where("n = 1 or upto <= 40").select("o_custkey", "o_orderkey")
-
-
 @query("""
 WITH d AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 UNION ALL SELECT 'none', 0), s AS (SELECT o_orderpriority AS p FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'P') SELECT p, n, p IN (SELECT p FROM s) AS shared FROM d
 """)
@@ -351,33 +330,12 @@ def jo09_same_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT doc_id, count(*) FILTER (regexp_matches(line, '(?i)licen[cs]e')) AS n_license, count(*) FILTER (contains(line, '@')) AS n_address, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1
 """)
-def det01_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def str_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that patterns find, by text."""
     l = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))  # noqa: E741
     return l.groupBy("doc_id").agg(F.count_if(F.col("line").rlike("(?i)licen[cs]e")).alias("n_license"), F.count_if(F.col("line").contains("@")).alias("n_address"), F.count("*").alias("n_lines"))
 
 
-@query()
-def det02_hedges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hedge comments over the lines of all texts, each text taken for a file."""
-    l = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("at", "text"))  # noqa: E741
-    lines = l.select("file", (F.col("at") + 1).cast("bigint").alias("lineno"), "text")
-    return detect.hedges(detect.split_lines(lines))
-
-
-@query()
-def g08_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths from one nation's suppliers over parts and orders' lines to large parts, ranked; the report keeps 300."""
-    n = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    s, p, l = (table(spark, sf_dir, t) for t in ("supplier", "part", "lineitem"))  # noqa: E741
-    calls = s.select(n("s", "s_suppkey").alias("uid"), F.lit("supplier").alias("file"), F.col("s_suppkey").alias("line"), F.lit(0).alias("column"), F.lit("").alias("code"), F.col("s_name").alias("name"))
-    calls = calls.unionByName(p.select(n("p", "p_partkey").alias("uid"), F.lit("part").alias("file"), F.col("p_partkey").alias("line"), F.lit(0).alias("column"), F.col("p_type").alias("code"), F.col("p_name").alias("name")))
-    flows = l.select(n("s", "l_suppkey").alias("src"), n("p", "l_partkey").alias("dst"))
-    sources = s.where("s_nationkey = 3").select(n("s", "s_suppkey").alias("uid"))
-    rules = [paths.SinkRule("metal", 5, ("steel",)), paths.SinkRule("alloy", 3, ("brass",))]
-    return paths.candidate_flows(calls, flows, sources, rules, "s").select("sink_uid", "source_uid", "sink_category", "rank")
-
-
 @query()
 def evl08_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two arms' catches by user, drawn 2,000 times."""

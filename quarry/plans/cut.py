@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's spark.checkpoint.dir; a temporary folder only where it is unset (tests, local mode)."""
+    """Use the session's spark.checkpoint.dir; where it is unset, a temporary folder in local mode (tests), an error on a
+    cluster, whose executors share no temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and re.fullmatch(r"local(\[.*\])?", sc.master) is None:
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

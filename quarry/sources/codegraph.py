@@ -85,10 +85,11 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 def segment_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (method_id, id, label, props) and edges (method_id, label, src, dst) of segment records.
 
-    A method that comes more than once has the same record each time, so rows are deduplicated by method and id; edges
-    are a multiset inside a record.
+    Of a method that comes more than once the record of the largest segment counts, whatever the order in which files
+    are read; edges are a multiset inside a record.
     """
-    one = records.where("method_id is not null").dropDuplicates(["method_id"])
+    last = records.where("method_id is not null").groupBy("method_id").agg(F.max_by(F.struct(*(c for c in records.columns if c != "method_id")), F.coalesce("seg", F.lit(-1))).alias("r"))
+    one = last.select("method_id", "r.*")
     nodes = one.select("method_id", F.explode("vertices").alias("v")).select("method_id", "v.id", "v.label", F.col("v.properties").alias("props"))
     inside = one.select("method_id", F.explode("edges").alias("e")).select("method_id", "e.label", F.col("e.outV").alias("src"), F.col("e.inV").alias("dst"))
     pair = lambda c, label: one.select("method_id", F.explode(c).alias("e")).select("method_id", F.lit(label).alias("label"), F.get("e", F.lit(0)).alias("src"), F.get("e", F.lit(1)).alias("dst"))

@@ -9,15 +9,35 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-# Folders that hold no first-party source.
-SKIPPED = ".git .hg .svn node_modules vendor dist build target __pycache__ .venv venv .tox bower_components".split()
+from quarry.functions.code import is_test_path
+
+# Folders that hold no first-party source, by the two readers that leave them out; endings of made files.
+DETECTOR_SKIPS = "node_modules bower_components vendor site-packages .venv venv __pycache__ .git test tests __tests__ spec e2e".split()
+INDEX_SKIPS = "node_modules vendor dist build target .git __pycache__ venv .venv".split()
+MADE = (".min.js", ".bundle.js")
 MAX_BYTES, MAX_LINE = 1_000_000, 2000
 
 
-def skip_reason(rel: Column, size: Column) -> Column:
-    """Why a file isn't read, or null: its folder, a minified or pseudo file, its size, a path that leaves the root."""
-    folder = F.exists(F.slice(F.split(rel, "/"), F.lit(1), F.size(F.split(rel, "/")) - 1), lambda p: p.isin(*SKIPPED))
-    return F.when(rel.startswith("../") | rel.contains("/../"), "outside").when(folder, "folder").when(rel.rlike(r"\.min\.(js|css)$"), "minified").when(rel.rlike("^<"), "pseudo").when(size > MAX_BYTES, "size")
+def skip_reason(rel: Column, size: Column, folders: list[str] = DETECTOR_SKIPS) -> Column:
+    """Why a file isn't read, or null: its folder, whatever its case, a made or pseudo file, its size, a path that leaves the root."""
+    parts = F.split(F.lower(rel), "[/\\\\]")
+    folder = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.isin(*folders))
+    made = F.lit(False)
+    for ending in MADE:
+        made = made | F.endswith(F.lower(rel), F.lit(ending))
+    return F.when(rel.startswith("../") | rel.contains("/../"), "outside").when(folder, "folder").when(made, "minified").when(rel.rlike("^<"), "pseudo").when(size > MAX_BYTES, "size")
+
+
+def index_skip_reason(rel: Column, size: Column, content: Column, links: Column | None = None) -> Column:
+    """Why a code index leaves a file out, or null: folder, symbolic link, minified, size, a test's path, a very long line."""
+    parts = F.split(rel, "/")
+    folder = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.isin(*INDEX_SKIPS))
+    long = F.exists(F.split(content, r"\r\n|[\n\r\x0b\x0c]"), lambda line: F.length(line) > MAX_LINE)
+    link = F.coalesce(links, F.lit(False)) if links is not None else F.lit(False)
+    return (
+        F.when(folder, "folder").when(link, "symlink").when(F.endswith(rel, F.lit(".min.js")), "minified").when(size > MAX_BYTES, "too large")
+        .when(is_test_path(rel), "test file").when(long, f"minified (a line over {MAX_LINE} chars)")
+    )
 
 
 def source_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -130,10 +150,10 @@ def hunks(diffs: DataFrame) -> DataFrame:
 
 
 def map_lines(lines: DataFrame, changed: DataFrame) -> DataFrame:
-    """(id, file, line, new_start, new_end): where lines (id, file, line) of the old side are on the new one.
+    """(id, file, line, new_file, new_start, new_end): where lines (id, file, line) of the old side are on the new one.
 
     A line outside all hunks moves by what those before it added; one in a changed range maps to the whole new range;
-    one that is deleted has none (nulls).
+    one that is deleted has none (nulls), nor has a line of a deleted file; a file without hunks keeps its name.
     """
     by = Window.partitionBy("id", "old_file").orderBy("old_start", "old_end")
     size = lambda s: F.col(f"{s}_end") - F.col(f"{s}_start") + 1
@@ -147,4 +167,9 @@ def map_lines(lines: DataFrame, changed: DataFrame) -> DataFrame:
     gone = inside & (F.col("h.till") < F.col("h.to"))
     moved = F.col("line") + F.coalesce("h.shift", F.lit(0))
     at = lambda c: F.when(gone, None).when(inside, F.col(f"h.{c}")).otherwise(moved)
-    return d.select("id", "file", "line", at("to").alias("new_start"), at("till").alias("new_end"))
+    d = d.select("id", "file", "line", at("to").alias("new_start"), at("till").alias("new_end"))
+    names = changed.groupBy("id", F.col("old_file").alias("file")).agg(F.min_by(F.struct(F.col("file").alias("to")), "old_start").alias("named"))
+    d = d.join(names, ["id", "file"], "left")
+    new_file = F.when(F.col("named").isNull(), F.col("file")).otherwise(F.col("named.to"))
+    there = lambda c: F.when(new_file.isNotNull(), F.col(c)).alias(c)
+    return d.select("id", "file", "line", new_file.alias("new_file"), there("new_start"), there("new_end"))

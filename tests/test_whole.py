@@ -85,12 +85,12 @@ def test_leakset_finds_short_passages(spark, tmp_path):
     c = duckdb.connect()
     for t in ("benchmark", "documents"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
-    got = entry.queries()["cur02_leakset"](spark, str(tmp_path)).toPandas()
-    assert rows(got) == rows(c.execute(entry.oracle_sql()["cur02_leakset"]).df())
+    got = entry.queries()["txt_passages"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(c.execute(entry.oracle_sql()["txt_passages"]).df())
     assert len(got) == 12
     c.execute("CREATE OR REPLACE TABLE x AS FROM benchmark WHERE item_id IN (2, 3, 4, 5, 6)")
     spark.read.parquet(f"{tmp_path}/benchmark.parquet").where("item_id between 2 and 6").write.parquet(f"{tmp_path}/b/benchmark.parquet")
     spark.read.parquet(f"{tmp_path}/documents.parquet").write.parquet(f"{tmp_path}/b/documents.parquet")
     c.execute("CREATE OR REPLACE VIEW benchmark AS FROM x")
-    got = entry.queries()["cur02_leakset"](spark, f"{tmp_path}/b").toPandas()
-    assert len(got) and rows(got) == rows(c.execute(entry.oracle_sql()["cur02_leakset"]).df())
+    got = entry.queries()["txt_passages"](spark, f"{tmp_path}/b").toPandas()
+    assert len(got) and rows(got) == rows(c.execute(entry.oracle_sql()["txt_passages"]).df())
