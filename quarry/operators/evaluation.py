@@ -104,6 +104,15 @@ def efficiency(runs: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, "n", "n_missing", F.when(F.col("__t") > 0, F.col("__c") * 1e6 / F.col("__t")).alias("per_million"))
 
 
+def sensitivity(runs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, n_partial, strict, loose): catches per million tokens (caught, tokens) without and with the runs whose token
+    counts are partial; null without tokens."""
+    d = runs.where("tokens is not null").withColumn("__whole", ~F.coalesce("partial", F.lit(False)))
+    part = lambda c: F.sum(F.when(F.col("__whole"), F.col(c)))
+    rate = lambda a, b: F.when(b > 0, a.cast("double") * 1e6 / b)
+    return d.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~F.col("__whole")).alias("n_partial"), rate(part("caught"), part("tokens")).alias("strict"), rate(F.sum("caught"), F.sum("tokens")).alias("loose"))
+
+
 def false_alarms(runs: DataFrame, by: list[str]) -> DataFrame:
     """by, n, n_missing, rate, low, high: the share of runs with an alarm (boolean), and its bounds if those that are
     missing had none, or all."""
