@@ -15,6 +15,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Chunks, pieces and pairs of tokens that a worker keeps at most, and the longest chunk that it keeps, in code points.
-KEEP, PAIRS, KEEP_LENGTH = 250_000, 1_000_000, 64
+KEEP, PAIRS, KEEP_LENGTH = 150_000, 200_000, 64
 _SPACE = regex.compile(r"\s+")
 
 
@@ -33,6 +34,12 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def forget(kept: dict) -> None:
+    """Drops the older half of what is kept."""
+    for key in list(islice(kept, len(kept) // 2)):
+        del kept[key]
+
+
 class Bpe:
     """A byte-level BPE with a mark at the end of words, read from a tokenizer file's JSON."""
 
@@ -94,8 +101,8 @@ class Bpe:
         if self.suffix:
             codes = codes[:-1] + chr(256 + piece[-1])
         fits, size = self.fits, len(codes)
-        if len(fits) > PAIRS:
-            fits.clear()
+        if len(fits) >= PAIRS:
+            forget(fits)
         last, start = [-1] * size, [0] * size  # the prefix's last token, and where that token starts
         for at, (token, n) in self.automaton.iter(codes):
             if last[at] >= 0:
@@ -120,7 +127,7 @@ class Bpe:
             known = self.encode_piece(piece.encode())
             if len(piece) <= KEEP_LENGTH:
                 if len(self.pieces) >= KEEP:
-                    self.pieces.clear()
+                    forget(self.pieces)
                 self.pieces[piece] = known
         return known
 
@@ -154,7 +161,7 @@ class Chunks(dict):
         found = len(ids), struct.pack(f"<{len(ids)}I", *ids), self.bpe.decode(ids)
         if len(chunk) <= KEEP_LENGTH:
             if len(self) >= KEEP:
-                self.clear()
+                forget(self)
             self[chunk] = found
         return found
 

@@ -25,7 +25,7 @@ from quarry.plans.cut import cut
 from quarry.plans.skew import heavy
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-BUCKET, OFFSETS, UNIT = 256, 32, 1_000_000_000
+BUCKET, OFFSETS, UNIT = 256, 16, 1_000_000_000
 #: Newton's steps at most (the bracket halves at least at each that leads out of it), the residual, as a part of the
 #: target, at which they end, and the bracket's width at the start.
 STEPS, RESIDUAL, WIDEST = 100, 1e-12, float(1 << 20)

@@ -23,10 +23,13 @@ COMMON_WORDS = (
     "el y los se del las por con no una su para es al lo como más pero sus o"
 ).split()
 WORDS = tuple(dict.fromkeys(COMMON_WORDS))
-#: What isn't of a class, by class: white space, capitals, digits, punctuation, symbols, Greek and Cyrillic, other letters up to
-#: U+1FFF, ideographs and all beyond U+2E80.  Two more classes are continuation bytes of UTF-8 and the rest.
-CLASSES = (r"[^ \t-\r]+", r"[^A-Z]+", r"[^0-9]+", r"""[^.,;:!?'"()\-]+""", r"[^#*$%&|<>]+", r"[^\u0370-\u052F]+", r"[^\u0530-\u1FFF]+", r"[^\u2E80-\x{10FFFF}]+")
+#: What isn't of a class, by class: white space, capitals, digits, punctuation, symbols.
+CLASSES = (r"[^ \t-\r]+", r"[^A-Z]+", r"[^0-9]+", r"""[^.,;:!?'"()\-]+""", r"[^#*$%&|<>]+")
 SYMBOLS = 4
+#: The same for classes outside ASCII: Greek and Cyrillic, other letters up to U+1FFF, ideographs and all beyond U+2E80.
+SCRIPTS = (r"[^\u0370-\u052F]+", r"[^\u0530-\u1FFF]+", r"[^\u2E80-\x{10FFFF}]+")
+#: Besides these, continuation bytes of UTF-8 and the rest.
+N_CLASSES = len(CLASSES) + len(SCRIPTS) + 2
 WINDOW = 8
 
 
@@ -34,7 +37,10 @@ def histograms(docs: DataFrame) -> DataFrame:
     """Adds words, n_words, classes (counts of bytes by class) and commons (counts of WORDS, then of other words)."""
     text = F.col("__text")
     counts = [F.char_length(F.regexp_replace(text, c, "")) for c in CLASSES]
+    # a pass for what isn't ASCII, if there is any; its classes are counted in that alone
+    counts += [F.char_length(F.regexp_replace("__wide", c, "")) for c in SCRIPTS]
     d = docs.withColumn("__text", whole(F.col("text")))
+    d = d.withColumn("__wide", F.when(F.octet_length(text) > F.char_length(text), F.regexp_replace(text, r"[\x00-\x7F]+", "")).otherwise(""))
     d = d.withColumn("words", split_words(text)).withColumn("n_words", F.size("words").cast("long"))
     d = d.withColumn("marks", F.array(*counts, F.octet_length(text) - F.char_length(text)).cast("array<bigint>"))
     rest = F.octet_length(text) - F.aggregate("marks", F.lit(0).cast("long"), lambda s, x: s + x)
@@ -43,7 +49,7 @@ def histograms(docs: DataFrame) -> DataFrame:
     # known is named twice in the lambda, so that the optimizer doesn't move its computation in there
     found = F.transform(F.array(*map(F.lit, WORDS)), lambda v: (F.size("known") - F.size(F.array_remove("known", v))).cast("long"))
     d = d.withColumn("commons", F.concat(found, F.array(F.col("n_words") - F.size("known"))))
-    return d.drop("known")
+    return d.drop("known", "__wide")
 
 
 def base_counts(d: DataFrame) -> DataFrame:
@@ -92,10 +98,10 @@ def _js_distance(d: DataFrame, name: str, p: str, q: str) -> DataFrame:
 
 def references(d: DataFrame) -> DataFrame:
     """(__lang, class_ref, common_ref): the summed histograms of all documents of each language; null is one of them."""
-    sums = [F.sum(F.get(h, F.lit(i))).alias(f"{h}{i}") for h, n in (("classes", len(CLASSES) + 2), ("commons", len(WORDS) + 1)) for i in range(n)]
+    sums = [F.sum(F.get(h, F.lit(i))).alias(f"{h}{i}") for h, n in (("classes", N_CLASSES), ("commons", len(WORDS) + 1)) for i in range(n)]
     ref = d.groupBy(F.col("lang").alias("__lang")).agg(*sums)
     pick = lambda h, n: F.array(*(F.col(f"{h}{i}") for i in range(n)))
-    return ref.select("__lang", pick("classes", len(CLASSES) + 2).alias("class_ref"), pick("commons", len(WORDS) + 1).alias("common_ref"))
+    return ref.select("__lang", pick("classes", N_CLASSES).alias("class_ref"), pick("commons", len(WORDS) + 1).alias("common_ref"))
 
 
 def with_common_share(refs: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ _UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
 def _op1() -> str:
     q = quality_rules
     wide = lambda c: re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", c).replace("'", "''")
-    marks = ", ".join(f"length(regexp_replace(text, '{wide(c)}', '', 'g'))" for c in q.CLASSES)
+    marks = ", ".join(f"length(regexp_replace(text, '{wide(c)}', '', 'g'))" for c in (*q.CLASSES, *q.SCRIPTS))
     commons = ", ".join(f"'{w}'" for w in q.WORDS)
     half = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((p + q) / 2)) ELSE 0 END"
     distance = f"sqrt(greatest(sum({half('p')} + {half('q')}) / 2, 0))"
