@@ -42,7 +42,7 @@ def real_arguments(argument_of: DataFrame, real_calls: DataFrame, max_height: in
     return state.where("done").select("node", F.col("at").alias("call"), "idx")
 
 
-def flows_to(seeds: DataFrame, reaching: DataFrame, arguments: DataFrame, params: DataFrame, from_seeds: bool = False, max_steps: int = 256) -> DataFrame:
+def flows_to(seeds: DataFrame, reaching: DataFrame, arguments: DataFrame, params: DataFrame, from_seeds: bool = False) -> DataFrame:
     """(src, call, idx, provenance): which calls' arguments each seed's value gets to.
 
     seeds: node; reaching: src, dst; arguments: node, call, idx (real_arguments()); params: call, idx, param, the callee's
@@ -51,7 +51,7 @@ def flows_to(seeds: DataFrame, reaching: DataFrame, arguments: DataFrame, params
     through.  A flow is proven if some walk without a crossing hits, else inferred.  from_seeds: the seeds themselves are
     walked first, as tainted parameters and request fields are.
 
-    Semi-naive: each round joins only the states (seed, node, crossed) that are new.
+    Semi-naive: each round joins only the states (seed, node, crossed) that are new, until there are none.
     """
     rd = cut(reaching.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct())
     args = arguments.select("node", "call", "idx")
@@ -61,9 +61,7 @@ def flows_to(seeds: DataFrame, reaching: DataFrame, arguments: DataFrame, params
     front = cut(first.distinct().withColumn("crossed", F.lit(False)))
     seen = front if from_seeds else cut(front.unionAll(start.withColumn("crossed", F.lit(False))))
     hits = None
-    for _ in range(max_steps):
-        if front.isEmpty():
-            break
+    while not front.isEmpty():
         at = front.join(args, "node", "left")
         stops = F.col("call").isNotNull() & (F.col("call") != F.col("src"))
         hit = cut(at.where(stops).select("src", "call", "idx", "crossed").distinct())

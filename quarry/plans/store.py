@@ -12,6 +12,27 @@ def unite(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in rest))
 
 
+def edge_rows(edges: DataFrame, seq: str, repeated: tuple[str, ...] = ("FLOWS_TO",)) -> DataFrame:
+    """Edges (label, src, dst, ...) once for each label and ends, with each property's last non-null value; those of the
+    repeated labels all stay."""
+    many = F.col("label").isin(*repeated)
+    return unite(edges.where(~many), ["label", "src", "dst"], seq).unionByName(edges.where(many).drop(seq))
+
+
+def persist(nodes: DataFrame, edges: DataFrame, folder: str, strict: bool = False) -> dict[str, int]:
+    """Writes the nodes and, of the edges, those whose ends exist, scan by scan; how many were given, written and lost.
+
+    strict: raises if an edge has lost an end.
+    """
+    replace_scan(nodes, folder, "nodes")
+    kept, lost = with_ends(edges, nodes, nodes)
+    replace_scan(kept, folder, "edges")
+    counts = {"nodes": nodes.count(), "edges": kept.count(), "lost": lost.count()}
+    if strict and counts["lost"]:
+        raise ValueError(f"{counts['lost']} edges have lost an end")
+    return counts
+
+
 def with_ends(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (scan_id, src, dst, ...) whose ends are among the nodes (scan_id, uid), and those whose aren't."""
     s = sources.select("scan_id", F.col("uid").alias("src")).distinct()
