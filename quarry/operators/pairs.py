@@ -6,6 +6,8 @@ arrays.  Leak sets are tables, joined, not sent.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,11 +164,9 @@ def mix(d: DataFrame, group: str, shares: dict[str, float], total: int | None, o
         return d.limit(0)
     norm = sum(active.values())
     whole = int(min(have[k] * norm / s for k, s in active.items())) if total is None else total
-    want = F.lit(None).cast("int")
-    for k, s in active.items():
-        want = F.when(F.col(group) == k, round(s / norm * whole)).otherwise(want)
-    d = d.withColumn("__want", want).where("__want is not null")
-    return d.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("__k <= __want").drop("__k", "__want")
+    # a sort and a limit for each group: no group stands in one task
+    parts = [d.where(F.col(group) == k).orderBy(*order).limit(round(s / norm * whole)) for k, s in sorted(active.items())]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def split_conflicts(rows: DataFrame) -> DataFrame:

@@ -308,17 +308,6 @@ def agg08_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(*(F.count_if(F.col("event_type") == t).alias(t) for t in ("click", "purchase", "error")))
 
 
-@query("""
-SELECT lang, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('mix:' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE k <= (n * 3 + 9) // 10
-""")
-def cur18_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three tenths of each language, by the rank of a hash."""
-    d = table(spark, sf_dir, "documents").select("lang", "source", "doc_id")
-    by = Window.partitionBy("lang")
-    k = F.row_number().over(by.orderBy(F.sha2(F.concat(F.lit("mix:"), F.col("doc_id").cast("string")), 256), "doc_id"))
-    return d.withColumn("k", k).withColumn("n", F.count("*").over(by)).where("k <= (n * 3 + 9) div 10").select("lang", "source", "doc_id")
-
-
 _TAIL = "regexp_replace(regexp_replace(url, '#.*$', ''), '[?&](utm_[a-z]+|ref)=[^&]*', '', 'g')"
 
 
