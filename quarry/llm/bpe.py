@@ -16,14 +16,15 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from itertools import islice
+from string import punctuation
 
 import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Chunks, pieces and pairs of tokens that a worker keeps at most, and the longest chunk that it keeps, in code points.
-KEEP, PAIRS, KEEP_LENGTH = 150_000, 200_000, 64
+#: Chunks, pieces of chunks and pairs of tokens that a worker keeps at most, and the longest chunk that it keeps, in code points.
+KEEP, KEEP_PIECES, PAIRS, KEEP_LENGTH = 240_000, 60_000, 200_000, 64
 _SPACE = regex.compile(r"\s+")
 
 
@@ -58,6 +59,12 @@ class Bpe:
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pieces = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.piece_re = regex.compile(pieces[0])
+        #: Whether the splitter leaves words of letters whole (it takes runs of letters, and no such word of the vocabulary is
+        #: parted), and the marks that it parts from a word before them.  Special tokens hold other characters than letters.
+        known = [t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t for t in self.vocab]
+        self.letters_whole = r"\p{L}" in pieces[0] and not any(t.isalpha() for t in self.special)
+        self.letters_whole = self.letters_whole and all(self.piece_re.findall(t) == [t] for t in known if t.isascii() and t.isalpha())
+        self.tails = {c for c in punctuation if not any(c in t for t in self.special) and self.piece_re.findall(f"ab{c}") == ["ab", c]}
         # the last symbol of a word is one of its own: byte symbols are 0-255, those that end a word 256-511
         self.code = {s: chr(b) for b, s in enumerate(self.bytes)} | {s + self.suffix: chr(256 + b) for b, s in enumerate(self.bytes)}
         self.start_ids = {c: self.vocab[s] for s, c in self.code.items()}
@@ -105,60 +112,71 @@ class Bpe:
             forget(fits)
         last, start = [-1] * size, [0] * size  # the prefix's last token, and where that token starts
         for at, (token, n) in self.automaton.iter(codes):
-            if last[at] >= 0:
-                continue
-            before = at - n
-            if before >= 0:
+            if last[at] < 0:
+                before = at - n
+                if before < 0:
+                    last[at], start[at] = token, -1
+                    continue
                 pair = last[before] << 32 | token
-                if (ok := fits.get(pair)) is None:
+                ok = fits.get(pair)
+                if ok is None:
                     ok = fits[pair] = self.may_follow(last[before], token)
-                if not ok:
-                    continue
-            last[at], start[at] = token, before
+                if ok:
+                    last[at], start[at] = token, before
         ids, at = [], size - 1
         while at >= 0:
             ids.append(last[at])
             at = start[at]
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
     def encode_word(self, piece: str) -> list[int]:
         """The ids of one piece, remembered if it isn't long."""
         if (known := self.pieces.get(piece)) is None:
             known = self.encode_piece(piece.encode())
             if len(piece) <= KEEP_LENGTH:
-                if len(self.pieces) >= KEEP:
+                if len(self.pieces) >= KEEP_PIECES:
                     forget(self.pieces)
                 self.pieces[piece] = known
         return known
 
+    @staticmethod
+    def lowered(text: str) -> str:
+        """Normalized and lower-cased; capital sigma first, as each character is lower-cased by itself, wherever it stands."""
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
     def encode(self, text: str) -> list[int]:
         """The ids of a text: special tokens, normalization, pieces, tokens."""
+        if self.letters_whole:  # the common chunks: a word, or a word and a mark
+            low = self.lowered(text)
+            if low.isalpha():
+                return self.encode_piece(low.encode())
+            if low[-1:] in self.tails and low[:-1].isalpha():
+                return self.encode_word(low[:-1]) + self.encode_word(low[-1])
         ids: list[int] = []
         for part in self.special_re.split(text) if self.special_re else [text]:
             if part in self.special:
                 ids.append(self.special[part])
                 continue
-            # capital sigma first: each character is lower-cased by itself, wherever in a word it stands
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for piece in self.piece_re.findall(part):
+            for piece in self.piece_re.findall(self.lowered(part)):
                 ids += self.encode_word(piece)
         return ids
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' names, parted by blanks (the files without a decoder ask for no more)."""
-        return " ".join(self.name[i] for i in ids)
+        return " ".join(map(self.name.__getitem__, ids))
 
 
 class Chunks(dict):
-    """Chunk of a text without white space -> (number of ids, ids as bytes, decoded)."""
+    """Chunk of a text without white space -> (ids as bytes, decoded)."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, chunk: str) -> tuple[int, bytes, str]:
+    def __missing__(self, chunk: str) -> tuple[bytes, str]:
         ids = self.bpe.encode(chunk)
-        found = len(ids), struct.pack(f"<{len(ids)}I", *ids), self.bpe.decode(ids)
+        found = struct.pack(f"<{len(ids)}I", *ids), self.bpe.decode(ids)
         if len(chunk) <= KEEP_LENGTH:
             if len(self) >= KEEP:
                 forget(self)
@@ -183,7 +201,11 @@ def digest(text: str | None, chunks: Chunks) -> tuple[int, bytes, str]:
     # str.split() parts at four more characters than the tokenizer does
     parts = _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
     found = [chunks[c] for c in parts if c]
-    return sum(x[0] for x in found), b"".join(x[1] for x in found), " ".join(x[2] for x in found if x[0])
+    if not found:
+        return 0, b"", ""
+    packed, decoded = zip(*found, strict=True)
+    ids = b"".join(packed)
+    return len(ids) // 4, ids, " ".join(filter(None, decoded))  # a chunk may be normalized away
 
 
 def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:

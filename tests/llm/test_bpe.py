@@ -61,3 +61,30 @@ def test_frame(spark, library):
     key = lambda x: (x[0] is None, x[0] or 0)
     assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.ids) for r in got), key=key) == sorted(want, key=key)
     assert encode_decode(d.limit(0), PATH, ids=False).count() == 0
+
+
+def test_letters_are_those_of_the_splitter():
+    import regex
+
+    letter = regex.compile(r"\p{L}")
+    assert all(letter.match(chr(c)) for c in range(0x110000) if chr(c).isalpha())
+
+
+def test_words_and_marks(chunks, library):
+    words = ["Straße", "ÉCOLE", "Σίσυφος", "ΟΔΟΣ", "İstanbul", "naïve", "日本", "Ⅷ", "áb", "x‍b", "ǅ"]
+    for w in words:
+        for mark in ["", ".", ",", "'", "'s", "!", "?!", "-", "_", "|", "<", ">", "…", "1"]:
+            ids = library.encode(w + mark, add_special_tokens=False).ids
+            n, packed, _ = digest(w + mark, chunks)
+            assert list(struct.unpack(f"<{n}I", packed)) == ids, w + mark
+
+
+def test_few_are_kept(monkeypatch, library):
+    from quarry.llm import bpe
+
+    for name, n in (("KEEP", 4), ("KEEP_PIECES", 2), ("PAIRS", 3)):
+        monkeypatch.setattr(bpe, name, n)
+    with open(PATH, encoding="utf-8") as f:
+        few = bpe.Chunks(bpe.Bpe(f.read()))
+    for t in list(texts())[:200]:
+        assert digest(t, few)[0] == len(library.encode(t, add_special_tokens=False).ids) and len(few) <= 4
