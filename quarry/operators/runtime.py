@@ -136,7 +136,7 @@ class Correlation:
         first = index.calls_at(sites).groupBy(F.col("file").alias("site_file"), F.col("line").alias("site_line")).agg(F.min_by("uid", F.struct("score", "seq")).alias("site"))
         sent = cut(side(dispatches, "callee").join(first, ["site_file", "site_line"], "left"))
         good = F.col("site").isNotNull() & F.col("callee_key").isNotNull() & F.col("callee_line").isNotNull()
-        made = sent.where(good).select(F.lit("OBSERVED_DISPATCH").alias("type"), F.lit("CpgCall").alias("src_kind"), F.col("site").alias("src"), F.col("callee_kind").alias("dst_kind"), F.col("callee_key").alias("dst"), F.lit(1).cast("bigint").alias("hits"))
+        made = sent.where(good).select(F.lit("OBSERVED_DISPATCH").alias("type"), F.lit("Call").alias("src_kind"), F.col("site").alias("src"), F.col("callee_kind").alias("dst_kind"), F.col("callee_key").alias("dst"), F.lit(1).cast("bigint").alias("hits"))
         self.edges = observed.unionAll(made).groupBy(*columns).agg(F.sum("hits").alias("hits"))
         self.dropped = {
             "coverage_no_call": lost_calls,
@@ -154,7 +154,7 @@ class Correlation:
         d = d.join(own, (F.col("file") == F.col("__f")) & (F.col("line") == F.col("__l")) & (F.col("name") == F.col("__n")), "left")
         d = d.join(there, (F.col("file") == F.col("__f2")) & (F.col("line") == F.col("__l2")), "left")
         run = F.when(F.coalesce("name", F.lit("")) != "", F.col("__own")).otherwise(F.col("__there"))
-        kind = F.when(F.col("exact").isNotNull(), "CpgMethod").when(run.isNotNull(), "ObservedMethod").when(F.col("inside").isNotNull(), "CpgMethod")
+        kind = F.when(F.col("exact").isNotNull(), "Method").when(run.isNotNull(), "ObservedMethod").when(F.col("inside").isNotNull(), "Method")
         d = d.withColumn("kind", kind).withColumn("key", F.coalesce("exact", run, "inside"))
         return d.drop("exact", "inside", "__f", "__l", "__n", "__own", "__f2", "__l2", "__there")
 

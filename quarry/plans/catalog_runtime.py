@@ -72,7 +72,7 @@ WITH {sql("methods", "calls", "trace", "jumps", "sent")}, {_INDEX},
  call_hits AS (SELECT uid AS key, sum(hits)::BIGINT AS hits FROM tc JOIN v_calls USING (file, line) GROUP BY 1),
  hot AS (SELECT inside AS key, max(hits) AS hits FROM tc JOIN w_in USING (file, line, name) WHERE hits > 0 GROUP BY 1),
  ends AS (SELECT * FROM {_ENDS}), {_exact("ends", "e")},
- point AS (SELECT ends.*, CASE WHEN x.exact IS NOT NULL THEN 'CpgMethod' WHEN r.uid IS NOT NULL THEN 'ObservedMethod' WHEN i.inside IS NOT NULL THEN 'CpgMethod' END AS kind, coalesce(x.exact, r.uid, i.inside) AS key
+ point AS (SELECT ends.*, CASE WHEN x.exact IS NOT NULL THEN 'Method' WHEN r.uid IS NOT NULL THEN 'ObservedMethod' WHEN i.inside IS NOT NULL THEN 'Method' END AS kind, coalesce(x.exact, r.uid, i.inside) AS key
    FROM ends LEFT JOIN e_exact x USING (file, line, name) LEFT JOIN e_in i USING (file, line, name)
    LEFT JOIN (SELECT file, line, name, uid FROM new UNION ALL SELECT file, line, '', arg_min(uid, seq) FROM new GROUP BY 1, 2) r USING (file, line, name)),
  j AS (SELECT a.kind AS src_kind, a.key AS src, b.kind AS dst_kind, b.key AS dst, hits, coalesce(a.key IS NOT NULL AND b.key IS NOT NULL AND NOT (a.kind = b.kind AND a.key = b.key), false) AS fine FROM jumps
@@ -83,7 +83,7 @@ WITH {sql("methods", "calls", "trace", "jumps", "sent")}, {_INDEX},
    LEFT JOIN point b ON b.file = callee_file AND b.line = callee_line AND b.name = callee_name)
 SELECT 'call' AS what, key, hits FROM call_hits UNION ALL SELECT 'method', key, hits FROM known UNION ALL SELECT 'method', key, hits FROM hot ANTI JOIN known USING (key)
 UNION ALL SELECT 'new', uid, hits FROM new UNION ALL SELECT 'edge', concat_ws(' ', 'OBSERVED_CALL', src_kind, src, dst_kind, dst), sum(hits)::BIGINT FROM j WHERE fine GROUP BY 1, 2
-UNION ALL SELECT 'edge', concat_ws(' ', 'OBSERVED_DISPATCH', 'CpgCall', site, dst_kind, dst), count(*) FROM d WHERE fine GROUP BY 1, 2
+UNION ALL SELECT 'edge', concat_ws(' ', 'OBSERVED_DISPATCH', 'Call', site, dst_kind, dst), count(*) FROM d WHERE fine GROUP BY 1, 2
 UNION ALL SELECT 'dropped', 'coverage_no_call', count(*) FROM tc ANTI JOIN v_calls USING (file, line) UNION ALL SELECT 'dropped', 'coverage_no_method', count(*) FROM tc ANTI JOIN w_in USING (file, line, name)
 UNION ALL SELECT 'dropped', 'call_unresolved', count(*) FROM j WHERE NOT fine UNION ALL SELECT 'dropped', 'dispatch_unresolved', count(*) FROM d WHERE NOT fine
 """)
