@@ -41,6 +41,20 @@ def forget(kept: dict) -> None:
         del kept[key]
 
 
+class Fits(dict):
+    """Pair of ids, the left one in the upper bits -> whether the right one may follow the left one."""
+
+    def __init__(self, bpe: Bpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= PAIRS:
+            forget(self)
+        ok = self[pair] = self.bpe.may_follow(pair >> 32, pair & 0xFFFFFFFF)
+        return ok
+
+
 class Bpe:
     """A byte-level BPE with a mark at the end of words, read from a tokenizer file's JSON."""
 
@@ -50,12 +64,14 @@ class Bpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.name = {i: t for t, i in self.vocab.items()}
+        self.packed = {i: struct.pack("<I", i) for i in self.name}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         #: (left id, right id) -> (rank, id of both together)
         self.merge = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
         self.bytes = byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.name |= {i: t for t, i in self.special.items()}
+        self.packed |= {i: struct.pack("<I", i) for i in self.special.values()}
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pieces = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.piece_re = regex.compile(pieces[0])
@@ -68,7 +84,7 @@ class Bpe:
         # the last symbol of a word is one of its own: byte symbols are 0-255, those that end a word 256-511
         self.code = {s: chr(b) for b, s in enumerate(self.bytes)} | {s + self.suffix: chr(256 + b) for b, s in enumerate(self.bytes)}
         self.start_ids = {c: self.vocab[s] for s, c in self.code.items()}
-        self.fits: dict[int, bool] = {}  # by pair of ids
+        self.fits = Fits(self)
         self.pieces: dict[str, list[int]] = {}
         self.automaton = ahocorasick.Automaton()
         self.codes: dict[int, str] = {}
@@ -108,20 +124,11 @@ class Bpe:
         if self.suffix:
             codes = codes[:-1] + chr(256 + piece[-1])
         fits, size = self.fits, len(codes)
-        if len(fits) >= PAIRS:
-            forget(fits)
         last, start = [-1] * size, [0] * size  # the prefix's last token, and where that token starts
         for at, (token, n) in self.automaton.iter(codes):
             if last[at] < 0:
                 before = at - n
-                if before < 0:
-                    last[at], start[at] = token, -1
-                    continue
-                pair = last[before] << 32 | token
-                ok = fits.get(pair)
-                if ok is None:
-                    ok = fits[pair] = self.may_follow(last[before], token)
-                if ok:
+                if before < 0 or fits[last[before] << 32 | token]:
                     last[at], start[at] = token, before
         ids, at = [], size - 1
         while at >= 0:
@@ -176,7 +183,7 @@ class Chunks(dict):
 
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
         ids = self.bpe.encode(chunk)
-        found = struct.pack(f"<{len(ids)}I", *ids), self.bpe.decode(ids)
+        found = b"".join(map(self.bpe.packed.__getitem__, ids)), self.bpe.decode(ids)
         if len(chunk) <= KEEP_LENGTH:
             if len(self) >= KEEP:
                 forget(self)
@@ -200,7 +207,7 @@ def digest(text: str | None, chunks: Chunks) -> tuple[int, bytes, str]:
     text = text or ""
     # str.split() parts at four more characters than the tokenizer does
     parts = _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-    found = [chunks[c] for c in parts if c]
+    found = list(map(chunks.__getitem__, filter(None, parts)))
     if not found:
         return 0, b"", ""
     packed, decoded = zip(*found, strict=True)
