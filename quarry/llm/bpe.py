@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Chunks, pieces of chunks and pairs of tokens that a worker keeps at most, and the longest chunk that it keeps, in code points.
-KEEP, KEEP_PIECES, PAIRS, KEEP_LENGTH = 240_000, 60_000, 200_000, 64
+KEEP, KEEP_PIECES, PAIRS, KEEP_LENGTH = 120_000, 40_000, 200_000, 64
 _SPACE = regex.compile(r"\s+")
 
 
@@ -190,6 +190,11 @@ class Chunks(dict):
             self[chunk] = found
         return found
 
+    def release(self) -> None:
+        """Forgets all chunks and pieces: a worker lives on after its task and may do other things."""
+        self.clear()
+        self.bpe.pieces.clear()
+
 
 _models: dict[str, Chunks] = {}
 
@@ -236,6 +241,7 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
                 if ids:
                     out += [pa.array([list(struct.unpack(f"<{r[0]}I", r[1])) for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        chunks.release()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * ids]
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
