@@ -10,6 +10,8 @@ from quarry.llm import bpe, line_dedup, mixing, quality_rules, simhash
 from quarry.plans.cut import work_folder
 
 TOKENIZER = "word_bpe_49k.json"
+#: Chunks that a worker of the encoding stage keeps: fewer than by itself, as workers serve the other stages, too.
+KEPT_CHUNKS = 120_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    return bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER), ids=False)
+    return bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER), ids=False, keep=KEPT_CHUNKS)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("mixing", mix), ("encoding", encode)]

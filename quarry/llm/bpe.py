@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Chunks, pieces of chunks and pairs of tokens that a worker keeps at most, and the longest chunk that it keeps, in code points.
-KEEP, KEEP_PIECES, PAIRS, KEEP_LENGTH = 120_000, 40_000, 200_000, 64
+KEEP, KEEP_PIECES, PAIRS, KEEP_LENGTH = 240_000, 60_000, 200_000, 64
 _SPACE = regex.compile(r"\s+")
 
 
@@ -76,11 +76,13 @@ class Bpe:
         pieces = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.piece_re = regex.compile(pieces[0])
         #: Whether the splitter leaves words of letters whole (it takes runs of letters, and no such word of the vocabulary is
-        #: parted), and the marks that it parts from a word before them.  Special tokens hold other characters than letters.
+        #: parted), and the marks whose runs it parts whole from a word before them.  Special tokens hold no such mark.
         known = [t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t for t in self.vocab]
         self.letters_whole = r"\p{L}" in pieces[0] and not any(t.isalpha() for t in self.special)
         self.letters_whole = self.letters_whole and all(self.piece_re.findall(t) == [t] for t in known if t.isascii() and t.isalpha())
-        self.tails = {c for c in punctuation if not any(c in t for t in self.special) and self.piece_re.findall(f"ab{c}") == ["ab", c]}
+        tails = [c for c in punctuation if not any(c in t for t in self.special)]
+        whole = lambda marks: self.piece_re.findall(f"ab{marks}") == ["ab", marks]
+        self.tails = "".join(c for c in tails if all(whole(c + d) and whole(d + c) for d in tails if d != "'") and whole(c) and c != "'")
         # the last symbol of a word is one of its own: byte symbols are 0-255, those that end a word 256-511
         self.code = {s: chr(b) for b, s in enumerate(self.bytes)} | {s + self.suffix: chr(256 + b) for b, s in enumerate(self.bytes)}
         self.start_ids = {c: self.vocab[s] for s, c in self.code.items()}
@@ -158,8 +160,9 @@ class Bpe:
             low = self.lowered(text)
             if low.isalpha():
                 return self.encode_piece(low.encode())
-            if low[-1:] in self.tails and low[:-1].isalpha():
-                return self.encode_word(low[:-1]) + self.encode_word(low[-1])
+            word = low.rstrip(self.tails)
+            if word.isalpha() and len(word) < len(low):
+                return self.encode_word(word) + self.encode_word(low[len(word) :])
         ids: list[int] = []
         for part in self.special_re.split(text) if self.special_re else [text]:
             if part in self.special:
@@ -177,15 +180,15 @@ class Bpe:
 class Chunks(dict):
     """Chunk of a text without white space -> (ids as bytes, decoded)."""
 
-    def __init__(self, bpe: Bpe):
+    def __init__(self, bpe: Bpe, keep: int):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.keep = bpe, keep
 
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
         ids = self.bpe.encode(chunk)
         found = b"".join(map(self.bpe.packed.__getitem__, ids)), self.bpe.decode(ids)
         if len(chunk) <= KEEP_LENGTH:
-            if len(self) >= KEEP:
+            if len(self) >= self.keep:
                 forget(self)
             self[chunk] = found
         return found
@@ -196,14 +199,14 @@ class Chunks(dict):
         self.bpe.pieces.clear()
 
 
-_models: dict[str, Chunks] = {}
+_models: dict[tuple[str, int], Chunks] = {}
 
 
-def model(source: str) -> Chunks:
+def model(source: str, keep: int = KEEP) -> Chunks:
     """One model for each tokenizer and worker process."""
-    key = hashlib.sha256(source.encode()).hexdigest()
+    key = hashlib.sha256(source.encode()).hexdigest(), keep
     if key not in _models:
-        _models[key] = Chunks(Bpe(source))
+        _models[key] = Chunks(Bpe(source), keep)
     return _models[key]
 
 
@@ -220,9 +223,10 @@ def digest(text: str | None, chunks: Chunks) -> tuple[int, bytes, str]:
     return len(ids) // 4, ids, " ".join(filter(None, decoded))  # a chunk may be normalized away
 
 
-def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, ids: bool = True, keep: int = KEEP) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) and decoded, for each row of
-    docs (doc_id, text).  path: the tokenizer's JSON file, read by the driver (a file of a fixed size).
+    docs (doc_id, text).  path: the tokenizer's JSON file, read by the driver (a file of a fixed size).  keep: chunks that a
+    worker keeps at most, which costs memory for speed.
 
     A null or empty text has no ids and decodes to an empty text; repeated rows are encoded one by one; an empty table
     gives an empty result.
@@ -231,7 +235,7 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = model(source.value)
+        chunks = model(source.value, keep)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
