@@ -13,6 +13,8 @@ from quarry.llm import bpe, licenses, line_crf, line_dedup, mixing, quality_rule
 from quarry.plans import skew
 
 TOKENIZER = "word_bpe_49k.json"
+#: Chunks that a worker of the encoder keeps.
+KEPT_CHUNKS = 500_000
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
@@ -48,7 +50,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ids=False)
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ids=False, keep=KEPT_CHUNKS)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
