@@ -176,5 +176,10 @@ def code_window(lines: DataFrame, file: str | None, start: int, end: int, most_l
 
 def context(lines: DataFrame, places: DataFrame, around: int = 8) -> DataFrame:
     """(file, line, lineno, text): the lines around each place (file, line), where the file has them."""
-    near = places.select("file", "line", F.explode(F.sequence(F.greatest(F.col("line") - around, F.lit(1).cast("bigint")), F.col("line") + around)).alias("lineno"))
-    return near.join(lines.select("file", "lineno", "text"), ["file", "lineno"]).select("file", "line", "lineno", "text")
+    # Both are dealt to blocks of as many lines as a place shows, so that a place stands in two blocks at most; merged, since the
+    # dealt places would be taken for as small as the places, and sent whole to the driver.
+    wide = 2 * around + 1
+    block = lambda x: F.floor(x / wide)
+    near = places.select("file", "line", F.explode(F.array_distinct(F.array(block(F.col("line") - around), block(F.col("line") + around)))).alias("__b"))
+    d = near.hint("merge").join(lines.select("file", "lineno", "text", block(F.col("lineno")).alias("__b")), ["file", "__b"])
+    return d.where(F.col("lineno").between(F.greatest(F.col("line") - around, F.lit(1)), F.col("line") + around)).select("file", "line", "lineno", "text")

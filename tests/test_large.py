@@ -1,6 +1,7 @@
 """What large tables need: no exploded table sent to all tasks, no work in the square of a key's rows."""
 
 from quarry.operators import codeindex
+from quarry.plans import adhoc
 
 
 def plan(df):
@@ -20,3 +21,12 @@ def test_chunks_send_no_lines(spark):
     assert "Broadcast" not in plan(d)
     assert {(r.file, r.start, r.stop, r.n_lines) for r in d.collect()} == {("a", 1, 40, 40), ("a", 30, 69, 40), ("b", 1, 60, 60), ("b", 61, 70, 10), (None, 1, 1, 1)}
     assert d.where("file = 'a' and start = 30").first().text.split("\n") == [f"a{i}" for i in range(30, 70)]
+
+
+def test_context_sends_no_lines(spark):
+    lines = values(spark, "file, lineno, text", [(f, i, f"{f}{i}") for f in "ab" for i in range(1, 61)])
+    places = values(spark, "file, line", [("a", 3), ("a", 20), ("a", 20), ("b", 58), ("b", -20), ("c", 1), (None, 1), ("a", None)])
+    d = adhoc.context(lines, places)
+    assert "Broadcast" not in plan(d)
+    want = [("a", 3, i) for i in range(1, 12)] + 2 * [("a", 20, i) for i in range(12, 29)] + [("b", 58, i) for i in range(50, 61)]
+    assert sorted((r.file, r.line, r.lineno) for r in d.collect()) == sorted(want)
