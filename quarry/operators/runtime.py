@@ -38,31 +38,34 @@ class Index:
 
     def __init__(self, methods: DataFrame, calls: DataFrame):
         m = methods.select("seq", plain_path(F.col("file")).alias("file"), "line", "full_name").where("file <> '' and line is not null and full_name <> ''")
-        m = m.groupBy("file", "line", "full_name").agg(F.min("seq").alias("seq"))
-        self.methods = cut(m.withColumn("score", made_up(F.col("full_name"))))
+        best = F.min(F.struct(made_up(F.col("full_name")).alias("score"), "seq", "full_name"))
+        #: One method for each line and short name, and one for each line: the least made up, then the first read.
+        self.named = m.groupBy("file", "line", short_name(F.col("full_name")).alias("short")).agg(best.alias("best"))
+        self.by_line = cut(m.groupBy("file", "line").agg(best.alias("best")).select("file", "line", "best.full_name"))
         c = calls.select("seq", plain_path(F.col("file")).alias("file"), "line", "uid", "name").where("file <> '' and line > 0 and uid <> ''")
-        self.calls = cut(c.withColumn("score", F.coalesce(F.col("name").startswith("<operator>"), F.lit(False)).cast("int")))
-        #: One method for each line: the least made up, then the first read.
-        self.by_line = self.methods.groupBy("file", "line").agg(F.min_by("full_name", F.struct("score", "seq")).alias("full_name"))
-        files = self.methods.select("file").unionAll(self.calls.select("file")).distinct()
+        self.calls = c.withColumn("score", F.coalesce(F.col("name").startswith("<operator>"), F.lit(False)).cast("int"))
+        self.call_lines = cut(c.select("file", "line").distinct())
+        files = self.by_line.select("file").unionAll(self.call_lines.select("file")).distinct()
         #: The one file of a base name; names that several files share aren't here.
-        self.by_base = files.groupBy(base_name(F.col("file")).alias("base")).agg(F.count("*").alias("n"), F.min("file").alias("only")).where("n = 1").select("base", "only")
+        self.by_base = cut(files.groupBy(base_name(F.col("file")).alias("base")).agg(F.count("*").alias("n"), F.min("file").alias("only")).where("n = 1").select("base", "only"))
 
     def _placed(self, points: DataFrame) -> DataFrame:
-        """points with `at`: their file if it has methods, else the only file of its base name, if that has."""
-        known = cut(self.methods.select("file").distinct())
-        d = points.join(known.select(F.col("file").alias("__f")), F.col("file") == F.col("__f"), "left")
+        """points with `at`: their file if it has methods, else the only file of its base name, if that has; looked up by file."""
+        known = self.by_line.select("file").distinct()
+        d = points.select("file").distinct().join(known.select(F.col("file").alias("__f")), F.col("file") == F.col("__f"), "left")
         only = self.by_base.join(known.select(F.col("file").alias("only")), "only").select(F.col("base").alias("__base"), "only")
         d = d.join(only, base_name(F.col("file")) == F.col("__base"), "left")
-        return d.withColumn("at", F.coalesce("__f", "only")).drop("__f", "__base", "only")
+        return points.join(cut(d.select("file", F.coalesce("__f", "only").alias("at"))), "file", "left")
 
     def exact(self, points: DataFrame) -> DataFrame:
         """points (file, line, name) with exact: the method declared on that line; of several the one of that short name,
         else the least made up, else the first read."""
-        keys = cut(self._placed(points.select("file", "line", "name").distinct()))
-        m = self.methods.select(F.col("file").alias("at"), "line", "full_name", "score", "seq")
-        differs = ~(short_name(F.col("full_name")) == short_name(F.col("name"))) | (F.coalesce("name", F.lit("")) == "")
-        found = keys.join(m, ["at", "line"]).groupBy("file", "line", "name").agg(F.min_by("full_name", F.struct(differs.alias("d"), "score", "seq")).alias("exact"))
+        keys = self._placed(points.select("file", "line", "name").distinct())
+        first = self.by_line.select(F.col("file").alias("at"), "line", F.col("full_name").alias("first"))
+        same = self.named.select(F.col("file").alias("at"), "line", "short", F.col("best.full_name").alias("same"))
+        keys = keys.join(first, ["at", "line"]).withColumn("short", F.when(F.col("name") != "", short_name(F.col("name"))))
+        # merged: aggregated methods would be taken for as small as the files that they are read from, and sent whole to the driver
+        found = keys.join(same.hint("merge"), ["at", "line", "short"], "left").withColumn("exact", F.coalesce("same", "first"))
         f = found.select(F.col("file").alias("__f"), F.col("line").alias("__l"), F.col("name").alias("__n"), "exact")
         return points.join(f, (F.col("file") == F.col("__f")) & (F.col("line") == F.col("__l")) & F.col("name").eqNullSafe(F.col("__n")), "left").drop("__f", "__l", "__n")
 

@@ -1,6 +1,6 @@
 """What large tables need: no exploded table sent to all tasks, no work in the square of a key's rows."""
 
-from quarry.operators import codeindex
+from quarry.operators import codeindex, runtime
 from quarry.plans import adhoc
 
 
@@ -30,3 +30,26 @@ def test_context_sends_no_lines(spark):
     assert "Broadcast" not in plan(d)
     want = [("a", 3, i) for i in range(1, 12)] + 2 * [("a", 20, i) for i in range(12, 29)] + [("b", 58, i) for i in range(50, 61)]
     assert sorted((r.file, r.line, r.lineno) for r in d.collect()) == sorted(want)
+
+
+def many(spark, n, *columns):
+    return spark.range(n).selectExpr(*columns)
+
+
+def made(df):
+    """Rows that the joins of a plan have made, after it has run."""
+    df.collect()
+    opened = lambda p: opened(p.executedPlan()) if "AdaptiveSparkPlan" in p.nodeName() else opened(p.plan()) if "QueryStage" in p.nodeName() else [p, *(x for i in range(p.children().size()) for x in opened(p.children().apply(i)))]
+    nodes = opened(df._jdf.queryExecution().executedPlan())
+    return max([p.metrics().apply("numOutputRows").value() for p in nodes if "Join" in p.nodeName()], default=0)
+
+
+def test_exact_looks_up_one_method_a_place(spark):
+    methods = many(spark, 400, "id AS seq", "'f.js' AS file", "id % 2 AS line", "CASE WHEN id < 4 THEN 'p.<lambda>' ELSE 'p.m' END || CAST(id AS STRING) AS full_name")
+    calls = many(spark, 1, "id AS seq", "'f.js' AS file", "1 AS line", "'c' AS uid", "'x' AS name")
+    points = many(spark, 400, "id AS seq", "CASE WHEN id % 3 = 0 THEN 'src/f.js' ELSE './f.js' END AS file", "id % 2 AS line", "CASE WHEN id % 4 > 1 THEN 'q.m' || CAST(id AS STRING) WHEN id % 4 = 1 THEN '' END AS name")
+    points = points.selectExpr("seq", "regexp_replace(file, '^[.]/', '') AS file", "line", "name")
+    d = runtime.Index(methods, calls).exact(points)
+    assert made(d) <= 400
+    got = {r.seq: r.exact for r in d.collect()}
+    assert got == {i: f"p.m{i}" if i % 4 > 1 and i >= 4 else f"p.m{4 + i % 2}" for i in range(400)}
