@@ -7,7 +7,7 @@ an empty side being (start, start - 1).  Methods are rows (file, line, full_name
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.code import is_test_path
@@ -19,32 +19,69 @@ from quarry.sources.texts import map_lines
 SIDES = {"vulnerable": ("old_file", "old_start", "old_end"), "patched": ("file", "new_start", "new_end")}
 
 
-def sites(hunks: DataFrame, methods: DataFrame, calls: DataFrame, side: str, window: int = 3) -> DataFrame:
-    """(id, seq, file, start, end, method, methods, call_uids, windowed) of each hunk outside tests that has a file on the side.
+_RANGE = ["file", "start", "end"]
 
-    A range holds the calls on its lines; method is the one around its first line, else the first of those around its
-    lines.  An empty side holds the calls within `window` lines of the place that have the same method around them.
+
+def _ranges(hunks: DataFrame, methods: DataFrame, calls: DataFrame, side: str, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hunks of the side, names, held): the hunks' distinct ranges (file, start, end) are looked up, each once.
+
+    names: each range's `at` and methods; held: the lines (range, line) whose calls it holds.
     """
     file, start, end = SIDES[side]
     h = hunks.select("id", "seq", F.col(file).alias("file"), F.col(start).alias("start"), F.col(end).alias("end")).where("file is not null")
-    h = cut(h.where(~is_test_path(F.col("file"))).withColumn("windowed", F.col("end") < F.col("start")))
+    h = h.where(~is_test_path(F.col("file"))).withColumn("windowed", F.col("end") < F.col("start"))
     reach = F.when(F.col("windowed"), F.sequence(F.col("start") - window, F.col("start") + window)).otherwise(F.sequence("start", F.greatest("start", "end")))
-    around = lambda d: joins.asof(d, methods, "file", "line", "full_name").withColumnRenamed("asof_full_name", "around")
-    lines = h.select("id", "seq", "file", "start", "windowed", F.explode(reach).alias("line"))
-    own = around(lines.where("line > 0 and (not windowed or line = start)"))
-    names = own.groupBy("id", "seq").agg(
+    lines = cut(h.select(*_RANGE, "windowed").distinct()).select(*_RANGE, "windowed", F.explode(reach).alias("line"))
+    places = lines.select("file", "line").unionAll(calls.select("file", "line")).distinct()
+    around = cut(joins.asof(places, methods, "file", "line", "full_name").withColumnRenamed("asof_full_name", "around"))
+    own = lines.where("line > 0 and (not windowed or line = start)").join(around, ["file", "line"])
+    names = own.groupBy(*_RANGE).agg(
         F.max(F.when(F.col("line") == F.col("start"), F.col("around"))).alias("at"),
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("around").isNotNull(), F.struct("line", "around")))), lambda x: x["around"])).alias("methods"),
     )
-    c = around(calls.select("file", "line", "uid")).withColumnRenamed("around", "call_method")
-    hit = lines.join(c, ["file", "line"]).join(names.select("id", "seq", "at"), ["id", "seq"], "left")
-    hit = hit.where(~F.col("windowed") | F.col("call_method").eqNullSafe(F.col("at")))
-    found = hit.groupBy("id", "seq").agg(F.array_sort(F.collect_set("uid")).alias("call_uids"))
-    d = h.join(names, ["id", "seq"], "left").join(found, ["id", "seq"], "left")
+    names = cut(names)
+    held = lines.join(names.select(*_RANGE, "at"), _RANGE, "left").join(around, ["file", "line"])
+    return h, names, cut(held.where(~F.col("windowed") | F.col("around").eqNullSafe(F.col("at"))).select(*_RANGE, "line"))
+
+
+def _first() -> Column:
+    return F.coalesce("at", F.when(~F.col("windowed"), F.try_element_at("methods", F.lit(1))))
+
+
+def _looked_up(h: DataFrame, found: DataFrame) -> DataFrame:
+    """Hunks with what was found for their range."""
+    f = found.withColumnsRenamed({k: f"__{k}" for k in _RANGE})
+    return h.join(f, [F.col(k) == F.col(f"__{k}") for k in _RANGE], "left")
+
+
+def sites(hunks: DataFrame, methods: DataFrame, calls: DataFrame, side: str, window: int = 3) -> DataFrame:
+    """(id, seq, file, start, end, method, methods, call_uids, windowed) of each hunk outside tests that has a file on the side.
+
+    A range holds the calls on its lines; method is the one around its first line, else the first of those around its
+    lines.  An empty side holds the calls within `window` lines of the place that have the same method around them.
+    """
+    h, names, held = _ranges(hunks, methods, calls, side, window)
+    found = held.join(calls.select("file", "line", "uid"), ["file", "line"]).groupBy(*_RANGE).agg(F.array_sort(F.collect_set("uid")).alias("call_uids"))
+    d = _looked_up(h, names.join(found, _RANGE, "full_outer"))
     none = F.array().cast("array<string>")
-    known = F.coalesce("methods", none)
-    first = F.coalesce("at", F.when(~F.col("windowed"), F.try_element_at(known, F.lit(1))))
-    return d.select("id", "seq", "file", "start", "end", first.alias("method"), known.alias("methods"), F.coalesce("call_uids", none).alias("call_uids"), "windowed")
+    return d.select("id", "seq", *_RANGE, _first().alias("method"), F.coalesce("methods", none).alias("methods"), F.coalesce("call_uids", none).alias("call_uids"), "windowed")
+
+
+def site_counts(hunks: DataFrame, methods: DataFrame, calls: DataFrame, side: str, window: int = 3) -> DataFrame:
+    """(id, seq, file, start, end, method, n_methods, n_calls, first_call, windowed): sites() with its lists counted, not made.
+
+    Calls of one place are counted by line; only those of several places are met with the ranges one by one.
+    """
+    h, names, held = _ranges(hunks, methods, calls, side, window)
+    c = calls.where("uid is not null").select("file", "line", "uid").join(held.select("file", "line").distinct(), ["file", "line"], "left_semi")
+    c = c.repartition("uid").distinct().withColumn("n", F.count("*").over(Window.partitionBy("uid")))
+    once = c.where("n = 1").groupBy("file", "line").agg(F.count("*").alias("n"), F.min("uid").alias("first_call"))
+    once = held.join(once, ["file", "line"]).groupBy(*_RANGE).agg(F.sum("n").alias("n"), F.min("first_call").alias("first_call"))
+    often = held.join(c.where("n > 1").select("file", "line", "uid"), ["file", "line"]).groupBy(*_RANGE).agg(F.count_distinct("uid").alias("n"), F.min("uid").alias("first_call"))
+    found = once.unionAll(often).groupBy(*_RANGE).agg(F.sum("n").alias("n_calls"), F.min("first_call").alias("first_call"))
+    d = _looked_up(h, names.join(found, _RANGE, "full_outer"))
+    counted = F.when(F.col("methods").isNull(), 0).otherwise(F.size("methods")).cast("bigint")
+    return d.select("id", "seq", *_RANGE, _first().alias("method"), counted.alias("n_methods"), F.coalesce("n_calls", F.lit(0).cast("bigint")).alias("n_calls"), "first_call", "windowed")
 
 
 def flows_through(flows: DataFrame, uids: DataFrame) -> DataFrame:

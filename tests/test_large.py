@@ -1,6 +1,6 @@
 """What large tables need: no exploded table sent to all tasks, no work in the square of a key's rows."""
 
-from quarry.operators import codeindex, runtime
+from quarry.operators import codeindex, fixes, runtime
 from quarry.plans import adhoc
 
 
@@ -53,3 +53,21 @@ def test_exact_looks_up_one_method_a_place(spark):
     assert made(d) <= 400
     got = {r.seq: r.exact for r in d.collect()}
     assert got == {i: f"p.m{i}" if i % 4 > 1 and i >= 4 else f"p.m{4 + i % 2}" for i in range(400)}
+
+
+def test_sites_look_up_each_range_once(spark):
+    hunks = many(spark, 300, "'h' AS id", "id AS seq", "'a.js' AS file", "'a.js' AS old_file", "id % 2 * 5 + 10 AS old_start", "id % 2 * 5 + 10 + CASE WHEN id % 4 > 1 THEN -1 ELSE 5 END AS old_end", "1L AS new_start", "0L AS new_end")
+    methods = values(spark, "file, line, full_name", [("a.js", 1, "m1"), ("a.js", 12, "m12")])
+    calls = many(spark, 200, "'a.js' AS file", "id % 20 AS line", "'c' || CAST(id % 190 AS STRING) AS uid", "'x' AS name")
+    counted, listed = (f(hunks, methods, calls, "vulnerable") for f in (fixes.site_counts, fixes.sites))
+    assert made(counted) <= 2000
+    got = {r.seq: (r.method, r.n_methods, r.n_calls, r.first_call, r.windowed) for r in counted.collect()}
+    assert got == {r.seq: (r.method, len(r.methods), len(r.call_uids), min(r.call_uids, default=None), r.windowed) for r in listed.collect()}
+
+    def held(k):
+        start, windowed = k % 2 * 5 + 10, k % 4 > 1
+        around = lambda line: None if line < 1 else "m1" if line < 12 else "m12"
+        lines = [x for x in range(start - 3, start + 4) if around(x) == around(start)] if windowed else range(start, start + 6)
+        return {f"c{i % 190}" for i in range(200) if i % 20 in lines}
+
+    assert {k: v[2:4] for k, v in got.items()} == {k: (len(held(k)), min(held(k))) for k in range(300)}
