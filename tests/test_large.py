@@ -2,7 +2,7 @@
 
 import random
 
-from quarry.operators import codeindex, fixes, runtime
+from quarry.operators import codeindex, fixes, rows, runtime
 from quarry.plans import adhoc
 
 
@@ -90,3 +90,11 @@ def test_enclosing_keeps_one_span_a_block(spark):
         return min(around)[2:] if around else (None, max(1, line - 20), max(line, min(n, line + 20))) if n and line and 1 <= line <= n else (None, None, None)
 
     assert {r.point_id: (r.span_id, r.start, r.stop) for r in d.collect()} == {k: want(f, x) for k, f, x in points}
+
+
+def test_cases_keep_one_span_a_block(spark):
+    spans = many(spark, 300, "id AS span_id", "'f' AS file", "10L AS start", "20 + id % 3 AS stop")
+    points = many(spark, 300, "id AS point_id", "'f' AS file", "20 + id % 3 AS line")
+    d = rows.case_per_span(points, spans, values(spark, "file, n_lines", [("f", 90)]), values(spark, "span_id", [(2,)]))
+    assert made(d) <= 5000
+    assert sorted((r.point_id, r.span_id) for r in d.collect()) == [(0, 0), (1, 1)]
