@@ -26,6 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forgetful_cut(df: DataFrame) -> DataFrame:
+    """cut() for loops that join a table with itself: the estimate of its size is left behind too.
+
+    A checkpoint keeps the estimate of the plan that made it, and a join's is the product of both sides': its digits double
+    with each round, until the driver does nothing but multiply.
+    """
+    done, spark = cut(df), df.sparkSession
+    none, p = spark._jvm.scala.Option.apply(None), done._jdf.queryExecution().analyzed()
+    plain = p.copy(p.output(), p.rdd(), p.outputPartitioning(), p.outputOrdering(), p.isStreaming(), p.stream(), spark._jsparkSession, none, none)
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plain), spark)
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder's path inside the shared checkpoint folder, for tables that a job writes between its steps."""
     ensure_checkpoint_dir(spark)

@@ -2,8 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quarry.operators import codeindex, fixes, matching, rows, runtime
+from quarry.operators.components import connected_components
 from quarry.plans import adhoc
+from quarry.plans.cut import forgetful_cut
 
 
 def plan(df):
@@ -108,3 +112,18 @@ def test_candidates_read_names_once(spark):
     assert sorted(map(tuple, d.collect())) == [(1, 1, "k1", 2), (1, 2, "k2", 2), (1, 3, "k2", 1)]
     kin = matching.candidates(f, k, values(spark, "cwe, relative", [("C1", "C2"), ("C1", "C2")]))
     assert sorted(map(tuple, kin.collect())) == [(1, 1, "k1", 2), (1, 2, "k2", 2), (1, 3, "k2", 2)]
+
+
+def test_estimates_do_not_grow_with_rounds(spark):
+    d = spark.range(8).selectExpr("id AS n", "id + 1 AS p")
+    for _ in range(6):
+        d = forgetful_cut(d.join(d.select(F.col("n").alias("p"), F.col("p").alias("root")), "p", "left").selectExpr("n", "coalesce(root, p) AS p"))
+        assert len(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 25
+    assert sorted(map(tuple, d.collect())) == [(i, 8) for i in range(8)]
+
+
+def test_components_of_a_chain_end_soon(spark):
+    n = 3000
+    d = connected_components(spark.range(n).selectExpr("CAST(id * 7919 % 3001 AS STRING) AS src", "CAST((id + 1) * 7919 % 3001 AS STRING) AS dst"))
+    assert len(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 60
+    assert d.count() == n + 1 and d.select("component").distinct().count() == 1
