@@ -90,13 +90,20 @@ def resolve(pairs: DataFrame, priority: list[str], annotations: list[str] = ())
     edges = names.select(F.concat(F.lit("r"), "key").alias("src"), F.concat(F.lit("a"), "alias").alias("dst"))
     members = connected_components(edges).where(F.col("node").startswith("r")).select(F.expr("substr(node, 2)").alias("key"), "component")
     d = cut(d.join(members, "key"))
-    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast(pairs.schema[c].dataType))))))
+
+    def united(c: str) -> DataFrame:
+        """A group's distinct entries; made distinct as rows, since array_distinct compares structs each with each."""
+        each = d.select("component", F.explode(c).alias("x")).distinct()
+        return each.groupBy("component").agg(F.array_sort(F.transform(F.collect_list(F.struct("x")), lambda s: s["x"])).alias(c))
+
     donors = [F.min_by(F.when(F.coalesce(F.col(k).cast("string"), F.lit("")) != "", F.struct(F.col(k).alias("v"), F.col("key").alias("by"))), F.when(F.coalesce(F.col(k).cast("string"), F.lit("")) != "", F.col("rank"))).alias(f"__{k}") for k in annotations]
     rest = [c for c in pairs.columns if c not in ("aliases", "cwe", "packages", "advisory_published", *annotations)]
     g = d.groupBy("component").agg(
-        F.min_by(F.struct(*rest, "rank", *annotations), "rank").alias("best"), united("aliases").alias("aliases"), united("cwe").alias("cwe"), united("packages").alias("packages"),
+        F.min_by(F.struct(*rest, "rank", *annotations), "rank").alias("best"),
         F.min("advisory_published").alias("advisory_published"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("sources"), *donors,
     )
+    for c in ("aliases", "cwe", "packages"):
+        g = g.join(united(c), "component", "left").withColumn(c, F.coalesce(c, F.array().cast(pairs.schema[c].dataType)))
     cwe = F.expr("array_sort(cwe, (l, r) -> int(substr(l, 5)) - int(substr(r, 5)))")
     own = lambda k: F.coalesce(F.col(f"best.{k}").cast("string"), F.lit("")) != ""
     noted = [x for k in annotations for x in (F.when(own(k), F.col(f"best.{k}")).otherwise(F.col(f"__{k}.v")).alias(k), F.when(~own(k), F.col(f"__{k}.by")).alias(f"{k}_from"))]
