@@ -121,13 +121,14 @@ class Correlation:
         new = named.groupBy("file", "line", "name").agg(F.min("seq").alias("seq"), F.min_by("hits", "seq").alias("hits"))
         self.new_methods = cut(new.withColumn("uid", stable_uid(F.lit(scan_id), F.lit("ObservedMethod"), F.col("file"), F.col("line"), F.lit(0), F.col("name"))))
         # lines: the calls on them, and the hottest line of each method
-        at = cut(index.calls_at(coverage))
-        hit = coverage.join(at.select("file", "line", "uid"), ["file", "line"])
-        self.call_hits = hit.groupBy("uid").agg(F.sum("hits").alias("hits"))
-        inside = cut(index.containing(coverage))
-        hottest = inside.where("inside is not null and hits > 0").groupBy(F.col("inside").alias("full_name")).agg(F.max("hits").alias("hits"))
+        places = cut(coverage.groupBy("file", "line").agg(F.sum("hits").alias("hits"), F.max("hits").alias("most"), F.count("*").alias("n")))
+        at = cut(index.calls_at(places).select("file", "line", "uid"))
+        self.call_hits = places.join(at, ["file", "line"]).groupBy("uid").agg(F.sum("hits").alias("hits"))
+        inside = cut(index.containing(places))
+        hottest = inside.where("inside is not null and most > 0").groupBy(F.col("inside").alias("full_name")).agg(F.max("most").alias("hits"))
         self.method_hits = known.unionAll(hottest.join(known, "full_name", "left_anti"))
-        lost_calls = coverage.join(at.select("file", "line").distinct(), ["file", "line"], "left_anti").count()
+        rows = lambda d: d.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        lost_calls = rows(places.join(at.select("file", "line").distinct(), ["file", "line"], "left_anti"))
         # edges between the ends that can be resolved
         side = lambda d, s: self.endpoints(d.withColumns({"file": F.col(f"{s}_file"), "line": F.col(f"{s}_line"), "name": F.col(f"{s}_name")})).withColumnsRenamed({"kind": f"{s}_kind", "key": f"{s}_key"}).drop("file", "line", "name")
         ends = cut(side(side(calls, "caller"), "callee"))
@@ -143,7 +144,7 @@ class Correlation:
         self.edges = observed.unionAll(made).groupBy(*columns).agg(F.sum("hits").alias("hits"))
         self.dropped = {
             "coverage_no_call": lost_calls,
-            "coverage_no_method": inside.where("inside is null").count(),
+            "coverage_no_method": rows(inside.where("inside is null")),
             "call_unresolved": ends.where(~fine).count(),
             "dispatch_unresolved": sent.where(~good).count(),
         }

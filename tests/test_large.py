@@ -127,3 +127,17 @@ def test_components_of_a_chain_end_soon(spark):
     d = connected_components(spark.range(n).selectExpr("CAST(id * 7919 % 3001 AS STRING) AS src", "CAST((id + 1) * 7919 % 3001 AS STRING) AS dst"))
     assert len(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 60
     assert d.count() == n + 1 and d.select("component").distinct().count() == 1
+
+
+def test_coverage_meets_calls_by_place(spark):
+    methods = values(spark, "seq, file, line, full_name", [(1, "f.js", 1, "p.m")])
+    calls = many(spark, 300, "id AS seq", "'f.js' AS file", "5L AS line", "'c' || CAST(id AS STRING) AS uid", "'x' AS name")
+    seen = many(spark, 300, "CASE WHEN id < 290 THEN 'f.js' ELSE 'g.js' END AS file", "5L AS line", "id % 2 AS hits")
+    none = values(spark, "seq, file, line, name, hits", [(1, "f.js", 1, "m", 1)]).where("seq > 1")
+    jumps = values(spark, "caller_file, caller_line, caller_name, callee_file, callee_line, callee_name, hits", [("f.js", 1, "m", "f.js", 5, "", 1)]).where("hits > 1")
+    sent = values(spark, "site_file, site_line, callee_file, callee_line, callee_name", [("f.js", 5, "f.js", 1, "m")]).where("site_line > 5")
+    c = runtime.Correlation(runtime.Index(methods, calls), "s", none, seen, jumps, sent)
+    assert made(c.call_hits) <= 300
+    assert {(r.uid, r.hits) for r in c.call_hits.collect()} == {(f"c{i}", 145) for i in range(300)}
+    assert [tuple(r) for r in c.method_hits.collect()] == [("p.m", 1)]
+    assert c.dropped["coverage_no_call"] == c.dropped["coverage_no_method"] == 10
