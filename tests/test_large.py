@@ -104,6 +104,15 @@ def test_cases_keep_one_span_a_block(spark):
     assert sorted((r.point_id, r.span_id) for r in d.collect()) == [(0, 0), (1, 1)]
 
 
+def test_cases_take_one_finding_a_place(spark):
+    spans = values(spark, "span_id, file, start, stop", [(1, "f", 1, 9), (2, "f", 4, 6), (3, "f", 20, 30), (4, None, 1, 9)])
+    points = many(spark, 3000, "3000 - id AS point_id", "CASE WHEN id % 7 > 0 THEN 'f' END AS file", "CASE WHEN id % 5 > 0 THEN id % 5 + id % 2 * 20 END AS line")
+    d = rows.case_per_span(points, spans, values(spark, "file, n_lines", [("f", 90), ("f", 80)]), values(spark, "span_id", [(3,)]))
+    assert made(d) <= 50
+    lines = {p: i % 5 + i % 2 * 20 for i in range(3000) if i % 7 and i % 5 for p in [3000 - i]}
+    assert sorted((r.point_id, r.span_id) for r in d.collect()) == [(min(p for p, x in lines.items() if x < 4), 1), (min(p for p, x in lines.items() if x == 4), 2)]
+
+
 def test_candidates_read_names_once(spark):
     f = values(spark, "run_id, idx, file, line_start, line_end, function, cwe", [(1, 1, "./a/b.js", 10, 12, "x.go()", "C1"), (1, 2, "b.js", 90, 95, "p.far", "C2"), (1, 2, "c.js", 5, 5, None, "C9"), (1, 3, "b.js", 300, 300, "p.far()", "C1"), (2, 1, "", 1, 1, None, None)])
     k = values(spark, "run_id, key_id, cwe, file, line, end_line, function", [(1, "k1", "C1", "a/b.js", 20, 15, "go"), (1, "k2", "C2", "src/a/b.js", 80, None, "far"), (1, "k2", "C3", "z/b.js", 91, 92, "none"), (1, "k2", "C9", "src/c.js", 1, 9, None), (2, "k1", None, "", 1, 1, None)])
